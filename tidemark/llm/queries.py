@@ -5,26 +5,89 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import importable
-from . import near_dedup, substring_dedup
+from . import chat, hnsw, mixing, near_dedup, packing, pii, quality, substring_dedup, token_codes, topk_search
+from .tokens import tokenizer_path
+from .vectors import valid_vectors
+
+#: Rows of an Arrow batch, so that a batch of very long texts stays small.
+ARROW_ROWS = "2000"
+#: Wanted shares of the tokens by domain.
+WEIGHTS = {"good": 0.8, "good_toxic": 0.12, "low": 0.08}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    importable(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.quantized(valid_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+    return topk_search.exact_top_k(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_codes.token_file_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), WEIGHTS)
+
+
+def op5_ann_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = valid_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").where(F.exists("v", lambda x: x != 0))
+    return hnsw.nearest(vectors, vectors.where("id % 20 = 0"), k=20)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, similarity=(85, 100))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1, length=2048, keep_ids=False).drop("ids")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"), width=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    say = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", say), (-1, 1, "assistant", say)], "conv_id long, turn long, role string, text string")
+    return chat.chat_digests(rows.unionByName(more))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_near_dedup, op9_substring_dedup)}
+    found = (op1_topk_search, op2_pii, op3_token_codes, op4_mixing, op5_ann_hnsw, op6_near_dedup, op7_quality, op8_packing, op9_substring_dedup, op10_chat)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express: exact search, and the digests of conversations."""
+    top = """
+        with v as (
+            select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as q
+            from embeddings
+            where embedding is not null and len(embedding) > 0
+              and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+        ), scored as (
+            select a.vec_id as query_id, b.vec_id,
+                   cast(list_dot_product(cast(a.q as double[]), cast(b.q as double[])) as bigint) as score
+            from v a join v b on a.vec_id <> b.vec_id
+            where a.vec_id % 50 = 0
+        ), ranked as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id) as place from scored
+        )
+        select query_id, cast(place as integer) as rank, vec_id, score from ranked where place <= 5"""
+    return {"op1_topk_search": top}
