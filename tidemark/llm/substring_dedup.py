@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .vectors import in_runs
 from .words import BASE_WORD, arrow_bytes, mix64, run_hashes, slices, words
 
 #: Bytes of text that one task reduces at a time, and windows aimed at for a bucket.
-LOCAL_BYTES, BUCKET_WINDOWS = 48 << 20, 1_000_000
+LOCAL_BYTES, BUCKET_WINDOWS = 20 << 20, 1_000_000
+#: Removals that a task gathers before it sends them to the groups of their documents.
+GATHERED = 2_000_000
 #: The second polynomial's base (fixed value).
 BASE_SECOND = np.uint64(0xA24BAED4963EE407)
 SCAN = 1 << 21
@@ -40,12 +43,12 @@ def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return one, (two >> np.uint64(48)).astype(np.uint16), text, start.astype(np.int32)
 
 
-def local_windows(width: int, buckets: int):
+def local_windows(width: int, buckets: int, groups: int):
     """Windows of many documents at once.
 
     Of equal windows only the earliest one here goes on, so that a passage of any number of documents
     sends one entry from each task; the others certainly start later than some window and are removed.
-    Kind 0: a bucket's entries (hashes, document, start), packed.  Kind 1: a document's removed intervals.
+    Kind 0: a bucket's entries (hashes, document, start), packed.  Kind 1: removed windows of a group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +64,7 @@ def local_windows(width: int, buckets: int):
             one, two, ids, starts = one[order], two[order], ids[order], starts[order]
             head = np.ones(len(one), bool)
             head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-            yield from removed(ids[~head], starts[~head], width)
+            yield from removed(ids[~head], starts[~head], groups)
             one, two, ids, starts = one[head], two[head], ids[head], starts[head]
             bucket = (one % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((starts, ids, bucket))  # by place, which makes the places small once compressed
@@ -94,7 +97,7 @@ def rows(kind: int, keys, blobs: list[bytes]) -> pa.RecordBatch:
 
 
 def packed(one: np.ndarray, two: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> bytes:
-    """Entries of one bucket in order of place: 10 bytes of hash, and runs of equal ids with 4-byte starts as steps."""
+    """Entries of one bucket in order of place: 10 bytes of hash each, and compressed steps of ids and starts."""
     head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     steps = starts.copy()
     steps[1:] -= starts[:-1]
@@ -102,8 +105,11 @@ def packed(one: np.ndarray, two: np.ndarray, ids: np.ndarray, starts: np.ndarray
     wide = steps >= 255
     short = np.where(wide, 255, steps).astype(np.uint8)
     counts = np.diff(np.concatenate([head, [len(ids)]])).astype(np.int32)
+    first = ids[head].astype(np.int64)
+    first[1:] -= ids[head][:-1]
     lead = np.array([len(one), len(head), int(wide.sum())], np.int64)
-    return b"".join(x.tobytes() for x in (lead, one, two, short, steps[wide].astype(np.int32), ids[head].astype(np.int64), counts))
+    place = b"".join(x.tobytes() for x in (short, steps[wide].astype(np.int32), first, counts))
+    return b"".join([lead.tobytes(), one.tobytes(), two.tobytes(), np.int64(len(place)).tobytes(), pa.compress(place, "zstd", asbytes=True)])
 
 
 def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +122,9 @@ def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         at += out.nbytes
         return out
 
-    one, two, short, far, ids, counts = take(np.uint64, n), take(np.uint16, n), take(np.uint8, n), take(np.int32, wide), take(np.int64, runs), take(np.int32, runs)
+    one, two, size = take(np.uint64, n), take(np.uint16, n), take(np.int64, 1)[0]
+    body, at = pa.decompress(body[at:], int(size), "zstd", asbytes=True), 0
+    short, far, ids, counts = take(np.uint8, n), take(np.int32, wide), np.cumsum(take(np.int64, runs)), take(np.int32, runs)
     steps = short.astype(np.int64)
     steps[short == 255] = far
     total = np.cumsum(steps)
@@ -125,47 +133,82 @@ def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return one, two, np.repeat(ids, counts), (total - np.repeat(base, counts)).astype(np.int32)
 
 
-def removed(ids: np.ndarray, starts: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+def removed(ids: np.ndarray, starts: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
+    """Removed windows (kind 1), packed for the group of their documents."""
     if not len(ids):
         return
-    order = np.lexsort((starts, ids))
-    ids, starts = ids[order], starts[order]
-    cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
-    for a in range(0, len(cuts) - 1, 4096):
-        part = cuts[a : a + 4097]
-        yield rows(1, ids[part[:-1]], [merged(starts[x:y], width).tobytes() for x, y in zip(part[:-1], part[1:], strict=True)])
+    group = (mix64(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((starts, ids, group))
+    group, ids, starts = group[order], ids[order], starts[order]
+    cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(ids)]])
+    for a in range(0, len(cuts) - 1, 256):
+        part = cuts[a : a + 257]
+        yield rows(1, group[part[:-1]], [steps(ids[x:y], starts[x:y]) for x, y in zip(part[:-1], part[1:], strict=True)])
 
 
-def bucket_removals(width: int):
-    """Per bucket (rows arrive sorted by bucket): every entry but the earliest of its hash is removed."""
+def steps(ids: np.ndarray, starts: np.ndarray) -> bytes:
+    raw = np.diff(ids, prepend=0).astype(np.int64).tobytes() + np.diff(starts, prepend=0).astype(np.int32).tobytes()
+    return np.int64(len(ids)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def from_steps(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(body, np.int64, 1)[0])
+    raw = pa.decompress(body[8:], 12 * n, "zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(raw, np.int64, n)), np.cumsum(np.frombuffer(raw, np.int32, n, 8 * n), dtype=np.int32)
+
+
+def bucket_removals(groups: int):
+    """Rows sorted by bucket: every entry but the earliest of its hash is removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, gathered = None, [], []
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def close() -> None:
             one, two, ids, starts = (np.concatenate(x) for x in zip(*map(unpacked, held), strict=True))
             held.clear()
             order = np.lexsort((starts, ids, two, one))
             one, two, ids, starts = one[order], two[order], ids[order], starts[order]
             again = np.zeros(len(one), bool)
             again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-            yield from removed(ids[again], starts[again], width)
+            gathered.append((ids[again], starts[again]))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if gathered:
+                yield from removed(*(np.concatenate(x) for x in zip(*gathered, strict=True)), groups)
+                gathered.clear()
 
         for batch in batches:
             for kind, key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if kind:
-                    yield rows(1, [key], [body.as_py()])
-                    continue
-                if held and key != now:
+                if kind:  # removals that the first pass was sure of
+                    gathered.append(from_steps(body.as_py()))
+                else:
+                    if held and key != now:
+                        close()
+                    now = key
+                    held.append(body.as_py())
+                if sum(len(x) for x, _ in gathered) >= GATHERED:
                     yield from flush()
-                now = key
-                held.append(body.as_py())
         if held:
-            yield from flush()
+            close()
+        yield from flush()
 
     return run
 
 
+def intervals(width: int):
+    """Rows sorted by group: the maximal intervals of each document of a group, one row for each document."""
+
+    def take(_: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [from_steps(x.as_py()) for b in batches for x in b.column(1)]
+        ids, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((starts, ids))
+        ids, starts = ids[order], starts[order]
+        cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids[cuts[:-1]]), "spans": pa.array([merged(starts[x:y], width).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+
+    return in_runs(take)
+
+
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Apply each document's intervals to its whole text."""
     for batch in batches:
@@ -179,9 +222,8 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(a, b):
                 lo, hi = first[i - a], first[i - a + 1]
                 keep = np.ones(hi - lo, bool)
-                for blob in spans[i].as_py() or ():
-                    for x, y in np.frombuffer(blob, np.int32).reshape(-1, 2):
-                        keep[x:y] = False
+                for x, y in np.frombuffer(spans[i].as_py() or b"", np.int32).reshape(-1, 2):
+                    keep[x:y] = False
                 at = np.flatnonzero(keep) + lo
                 total.append(int(hi - lo))
                 gone.append(int(hi - lo - len(at)))
@@ -214,8 +256,10 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, chars // 6 // BUCKET_WINDOWS)
-    entries = docs.where("id is not null").mapInArrow(local_windows(width, buckets), "kind int, key long, body binary")
-    dealt = entries.repartition(min(buckets, 20_000), F.col("kind"), F.col("key")).sortWithinPartitions("kind", "key")
-    gone = dealt.mapInArrow(bucket_removals(width), "kind int, key long, body binary")
-    spans = gone.groupBy(F.col("key").alias("id")).agg(F.collect_list("body").alias("spans"))
+    parts = min(buckets, 20_000)
+    groups = max(64, parts)
+    entries = docs.where("id is not null").mapInArrow(local_windows(width, buckets, groups), "kind int, key long, body binary")
+    dealt = entries.repartition(parts, "kind", "key").sortWithinPartitions("kind", "key")
+    gone = dealt.mapInArrow(bucket_removals(groups), "kind int, key long, body binary").select("key", "body")
+    spans = gone.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(intervals(width), "id long, spans binary")
     return docs.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(cut_out, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
