@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,6 +61,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
             return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
                 now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
             )
-        state = seen
-        now = materialize(star(now), "edges")
+        state, old = seen, now
+        now = materialize(star(old), "edges")
+        discard(old)
     raise RuntimeError("connected components did not settle")

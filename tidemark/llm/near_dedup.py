@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .components import connected_components
-from .shared import materialize
+from .shared import discard, materialize
 from .words import BASE_WORD, arrow_bytes, mix64, slices, words
 
 #: Signature: BANDS bands of ROWS coordinates.  A pair with Jaccard similarity s shares no band
@@ -19,6 +20,8 @@ BANDS, ROWS = 36, 5
 COORDINATES = BANDS * ROWS
 #: Documents whose band keys are reduced together, and members of a block of a bucket.
 LOCAL_DOCS, BLOCK = 50_000, 512
+#: Candidates that may be broadcast to the scan of the texts.
+BROADCAST_ROWS = 200_000
 SCAN = 1 << 20
 
 
@@ -122,10 +125,13 @@ def sets(k: int):
     return run
 
 
-def bucket_stars(num: int, den: int):
-    """Band keys of many documents at once: kind 0 rows (key, least document and its size) go on to other
-    tasks, kind 1 rows are candidate pairs of a document and the least one of its bucket here.  A bucket
-    of any size so sends one row from each task."""
+def buckets(num: int, den: int, heads: bool):
+    """Band keys of many documents at once.
+
+    With ``heads``: kind 0 rows (key, least document here, its size, documents here), which go on to other tasks,
+    so that a bucket of any size sends one row from each task.  Without: kind 1 rows are candidate pairs (a, b)
+    of a document and the least one of its bucket here, and kind 2 rows (key, a, n) its other members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -140,15 +146,21 @@ def bucket_stars(num: int, den: int):
             keys, of = keys[order], of[order]
             head = np.ones(len(keys), bool)
             head[1:] = keys[1:] != keys[:-1]
-            lead = of[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            small, large = np.minimum(n[of], n[lead]), np.maximum(n[of], n[lead])
-            pair = (of != lead) & (small * den >= large * num)
-            links = np.unique(np.stack([of[pair], lead[pair]]), axis=1)
-            for kind, key, a, an, b in (
-                (0, keys[head], ids[of[head]], n[of[head]], ids[of[head]]),
-                (1, np.zeros(links.shape[1], np.int64), ids[links[0]], n[links[0]], ids[links[1]]),
-            ):
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(a), kind, np.int32)), "key": pa.array(key), "a": pa.array(a), "n": pa.array(an), "b": pa.array(b)})
+            at = np.flatnonzero(head)
+            if heads:
+                out = [(0, keys[at], ids[of[at]], n[of[at]], np.diff(np.append(at, len(keys))))]
+            else:
+                lead = of[at[np.cumsum(head) - 1]]
+                small, large = np.minimum(n[of], n[lead]), np.maximum(n[of], n[lead])
+                pair = (of != lead) & (small * den >= large * num)
+                links = np.unique(np.stack([of[pair], lead[pair]]), axis=1)
+                rest = of[~head]
+                out = [
+                    (1, np.zeros(links.shape[1], np.int64), ids[links[0]], n[links[0]], ids[links[1]]),
+                    (2, keys[~head], ids[rest], n[rest], np.zeros(len(rest), np.int64)),
+                ]
+            for kind, key, a, size, b in out:
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(a), kind, np.int32)), "key": pa.array(key), "a": pa.array(a), "n": pa.array(size), "b": pa.array(b)})
             held.clear()
 
         for batch in batches:
@@ -161,26 +173,6 @@ def bucket_stars(num: int, den: int):
     return run
 
 
-def bucket_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, component) once for each batch, for the buckets' component counts."""
-    for batch in batches:
-        data, _ = arrow_bytes(batch.column(1))
-        keys, comp = data.view(np.int64), np.repeat(batch.column(0).to_numpy(), BANDS)
-        order = np.lexsort((comp, keys))
-        keys, comp = keys[order], comp[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (comp[1:] != comp[:-1])
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys[new]), "low": pa.array(comp[new]), "high": pa.array(comp[new])})
-
-
-def explode_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, _ = arrow_bytes(batch.column(0))
-        of = pa.array(np.repeat(np.arange(len(batch)), BANDS))
-        rest = batch.select(["id", "n", "component", "bits"]).take(of)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(data.view(np.int64)), **{name: rest.column(name) for name in rest.schema.names}})
-
-
 def across_blocks(num: int, den: int):
     """Pairs of two blocks of a bucket that lie in different components and may be similar enough.
 
@@ -229,10 +221,14 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num:
     """The pairs (a, b) of class representatives whose full shingle sets are similar enough."""
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = classes.join(ids, "id").select("id", "k1", "k2")
-    full = materialize(docs.join(wanted, "id").select("id", "text", "k1", "k2").mapInArrow(sets(k), "id long, shingles binary"), "shingles")
+    wanted = materialize(classes.join(ids, "id").select("id", "k1", "k2"), "candidates")
+    few = wanted.count() <= BROADCAST_ROWS  # 24 bytes a row; beyond, the texts are shuffled
+    texts = docs.join(F.broadcast(wanted) if few else wanted.hint("merge"), "id").select("id", "text", "k1", "k2")
+    full = materialize(texts.mapInArrow(sets(k), "id long, shingles binary"), "shingles")
     x, y = (full.select(F.col("id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "x"), ("b", "y")))
-    return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified(num, den), "a long, b long").distinct(), "links")
+    links = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified(num, den), "a long, b long").distinct(), "links")
+    discard(pairs, wanted, full)
+    return links
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -258,17 +254,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = rows.where("n > 0 and id is not null")
     classes = materialize(known.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
 
-    local = materialize(classes.select("id", "n", "bands").mapInArrow(bucket_stars(num, den), "kind int, key long, a long, n long, b long"), "stars")
-    heads = local.where("kind = 0").select("key", "a", "n")
-    least = heads.groupBy("key").agg(F.min(F.struct("a", "n")).alias("least"), F.count("*").alias("many")).where("many > 1")
-    wide = heads.join(least, "key").where(f"a != least.a and least(n, least.n) * {den} >= greatest(n, least.n) * {num}").select("a", F.col("least.a").alias("b"))
+    bands, kinds = classes.select("id", "n", "bands"), "kind int, key long, a long, n long, b long"
+    local = materialize(bands.mapInArrow(buckets(num, den, False), kinds), "stars")
+    bucket = W.partitionBy("key")
+    heads = bands.mapInArrow(buckets(num, den, True), kinds).select("key", "a", "n", F.min(F.struct("a", "n")).over(bucket).alias("least"), F.sum("b").over(bucket).alias("many"))
+    heads = materialize(heads.where("many > 1"), "heads")
+    wide = heads.where(f"a != least.a and least(n, least.n) * {den} >= greatest(n, least.n) * {num}").select("a", F.col("least.a").alias("b"))
     links = confirm(docs, classes, local.where("kind = 1").select("a", "b").unionByName(wide), shingle, num, den)
     first = materialize(connected_components(links), "components")
 
-    labelled = classes.join(first, classes["id"] == first["node"], "left").select("id", "n", "bands", "bits", F.coalesce("component", "id").alias("component"))
-    labelled = materialize(labelled, "labelled")
-    mixed = labelled.select("component", "bands").mapInArrow(bucket_members, "key long, low long, high long").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key")
-    members = labelled.select("bands", "id", "n", "component", "bits").mapInArrow(explode_bands, "key long, id long, n long, component long, bits binary").join(mixed, "key")
+    shared = heads.select("key", "a", "n").unionByName(local.where("kind = 2").select("key", "a", "n"))
+    labelled = materialize(shared.join(first, F.col("a") == F.col("node"), "left").select("key", F.col("a").alias("id"), "n", F.coalesce("component", "a").alias("component")), "members")
+    discard(heads, local)
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    members = labelled.join(mixed, "key").join(classes.select("id", "bits"), "id")
     # A component's members share blocks, so that two blocks of one large component are not compared.
     ranked = members.selectExpr("*", f"floor((row_number() over (partition by key order by component, id) - 1) / {BLOCK}) as block")
     blocks = ranked.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list(F.struct("id", "n", "component", "bits")).alias("members"))
@@ -276,8 +275,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other = blocks.select("key", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("members").alias("right"))
     facing = blocks.withColumnRenamed("members", "left").join(other, "key").where("block <= block2 and not (low = high and low2 = high2 and low = low2)").select("left", "right")
     late = confirm(docs, classes, facing.mapInArrow(across_blocks(num, den), "a long, b long"), shingle, num, den)
-    label = first.select("node", "component")
-    final = connected_components(links.unionByName(late)) if late.limit(1).count() else label
+    discard(labelled, blocks)
+    final = connected_components(links.unionByName(late)) if late.limit(1).count() else first
 
     of_class = classes.join(final, classes["id"] == final["node"], "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     wordless = rows.where("n = 0 or id is null").select("id", "n", F.when(F.col("id").isNotNull(), F.col("id")).alias("component"))

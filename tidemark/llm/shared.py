@@ -8,6 +8,7 @@ once, and a lost executor costs a re-read instead of a recomputation.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -39,14 +40,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a DataFrame that reads it."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables whose readers have all been written, and let Spark drop shuffles that nobody holds."""
+    for df in tables:
+        _written.remove(df._written_to)
+        delete(df.sparkSession, df._written_to)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> int:
     """Delete every intermediate table of this process; results that still read them become invalid."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     n = 0
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+        n += delete(spark, _written.pop())
     return n
