@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,17 @@ from pyspark.sql import Window as W
 
 from .components import connected_components
 from .shared import discard, materialize
+from .vectors import column_of, in_runs
 from .words import BASE_WORD, arrow_bytes, mix64, slices, words
 
 #: Signature: BANDS bands of ROWS coordinates.  A pair with Jaccard similarity s shares no band
 #: with probability (1 - s**ROWS)**BANDS: 7e-9 at 0.85, 7e-7 at 0.8.
 BANDS, ROWS = 36, 5
 COORDINATES = BANDS * ROWS
-#: Documents whose band keys are reduced together, and members of a block of a bucket.
-LOCAL_DOCS, BLOCK = 50_000, 512
+#: Documents whose band keys are reduced together, and members of a block of a family.
+LOCAL_DOCS, BLOCK = 50_000, 128
+#: Columns of an incidence matrix.
+COLUMNS = 1 << 15
 #: Candidates that may be broadcast to the scan of the texts.
 BROADCAST_ROWS = 200_000
 SCAN = 1 << 20
@@ -85,18 +89,18 @@ def sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = arrow_bytes(batch.column(1))
-            n, keys, bands, bits = [], [], [], []
+            n, keys, bands = [], [], []
             for a, b in slices(offsets, SCAN):
                 for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k):
                     n.append(len(s))
                     if not len(s):
-                        keys.append((0, 0)), bands.append(None), bits.append(None)
+                        keys.append((0, 0)), bands.append(None)
                         continue
                     sig = signature(s)
                     rolled = np.arange(BANDS, dtype=np.uint64)
                     for row in sig.reshape(BANDS, ROWS).T:
                         rolled = mix64(rolled * BASE_WORD + row)
-                    keys.append(set_key(s)), bands.append(rolled.tobytes()), bits.append(sig.astype(np.uint8).tobytes())
+                    keys.append(set_key(s)), bands.append(rolled.tobytes())
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": batch.column(0),
@@ -104,7 +108,6 @@ def sketch(k: int):
                     "k1": pa.array([x for x, _ in keys], pa.int64()),
                     "k2": pa.array([x for _, x in keys], pa.int64()),
                     "bands": pa.array(bands, pa.binary()),
-                    "bits": pa.array(bits, pa.binary()),
                 }
             )
 
@@ -128,9 +131,9 @@ def sets(k: int):
 def buckets(num: int, den: int, heads: bool):
     """Band keys of many documents at once.
 
-    With ``heads``: kind 0 rows (key, least document here, its size, documents here), which go on to other tasks,
-    so that a bucket of any size sends one row from each task.  Without: kind 1 rows are candidate pairs (a, b)
-    of a document and the least one of its bucket here, and kind 2 rows (key, a, n) its other members.
+    With ``heads``: rows (key, least document here, its size), which go on to other tasks, so that a bucket of any
+    size sends one row from each task.  Without: rows (1 if the sizes admit the similarity, a, b) of a document
+    and the least one of its bucket here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +141,7 @@ def buckets(num: int, den: int, heads: bool):
 
         def flush() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held)
+            held.clear()
             ids, n = (table.column(i).to_numpy() for i in (0, 1))
             data, _ = arrow_bytes(table.column(2))
             keys = data.view(np.int64)
@@ -148,20 +152,13 @@ def buckets(num: int, den: int, heads: bool):
             head[1:] = keys[1:] != keys[:-1]
             at = np.flatnonzero(head)
             if heads:
-                out = [(0, keys[at], ids[of[at]], n[of[at]], np.diff(np.append(at, len(keys))))]
+                columns = keys[at], ids[of[at]], n[of[at]]
             else:
                 lead = of[at[np.cumsum(head) - 1]]
-                small, large = np.minimum(n[of], n[lead]), np.maximum(n[of], n[lead])
-                pair = (of != lead) & (small * den >= large * num)
-                links = np.unique(np.stack([of[pair], lead[pair]]), axis=1)
-                rest = of[~head]
-                out = [
-                    (1, np.zeros(links.shape[1], np.int64), ids[links[0]], n[links[0]], ids[links[1]]),
-                    (2, keys[~head], ids[rest], n[rest], np.zeros(len(rest), np.int64)),
-                ]
-            for kind, key, a, size, b in out:
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(a), kind, np.int32)), "key": pa.array(key), "a": pa.array(a), "n": pa.array(size), "b": pa.array(b)})
-            held.clear()
+                of, lead = np.unique(np.stack([of[~head], lead[~head]]), axis=1)
+                fits = np.minimum(n[of], n[lead]) * den >= np.maximum(n[of], n[lead]) * num
+                columns = fits.astype(np.int64), ids[of], ids[lead]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "a", "b"])
 
         for batch in batches:
             held.append(batch)
@@ -173,32 +170,71 @@ def buckets(num: int, den: int, heads: bool):
     return run
 
 
-def across_blocks(num: int, den: int):
-    """Pairs of two blocks of a bucket that lie in different components and may be similar enough.
+def as_block(key: int, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for a block: its documents' ids, components and shingle sets."""
+    ids, component = column_of(rows, 1).to_numpy(), column_of(rows, 2).to_numpy()
+    order = np.argsort(ids, kind="stable")
+    sets = [x.as_py() for x in column_of(rows, 3)]
+    sizes = np.array([len(x) // 8 for x in sets], np.int64)[order]
+    yield pa.RecordBatch.from_pydict({"key": pa.array([key], pa.int64()), "body": pa.array([b"".join([np.int64(len(ids)).tobytes(), ids[order].tobytes(), component[order].tobytes(), sizes.tobytes(), *(sets[i] for i in order)])], pa.binary())})
+
+
+def from_block(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(body, np.int64, 1)[0])
+    ids, component, sizes = np.frombuffer(body, np.int64, 3 * n, 8).reshape(3, n)
+    return ids, component, sizes, np.frombuffer(body, np.uint64, -1, 8 + 24 * n)
+
+
+def shared_counts(a: tuple, b: tuple) -> np.ndarray:
+    """Intersection sizes of all sets of one block with all of another, as products of incidence matrices."""
+    _, column = np.unique(np.concatenate([a[3], b[3]]), return_inverse=True)
+    left, right = column[: len(a[3])], column[len(a[3]) :]
+    rows_a, rows_b = np.repeat(np.arange(len(a[0])), a[2]), np.repeat(np.arange(len(b[0])), b[2])
+    out = np.zeros((len(a[0]), len(b[0])))
+    for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        parts = []
+        for rows, columns, n in ((rows_a, left, len(a[0])), (rows_b, right, len(b[0]))):
+            some = (columns >= at) & (columns < at + COLUMNS)
+            x = np.zeros((n, COLUMNS), np.float32)
+            x[rows[some], columns[some] - at] = 1
+            parts.append(x)
+        out += parts[0] @ parts[1].T
+    return out
+
 
-    The size bound is exact.  The other bound compares the signatures' low bytes: a pair at the threshold
-    agrees in fewer coordinates than it allows with a probability under 1e-6.
-    """
-    s = num / den
-    least = COORDINATES * s - 5 * (COORDINATES * s * (1 - s)) ** 0.5
+def linked(num: int, den: int):
+    """Rows by (key, kind): a block, then the blocks to compare it with.  Yields confirmed links between
+    components, no more than connect them."""
+
+    def links(a: tuple, b: tuple) -> list[tuple[int, int]]:
+        common = shared_counts(a, b)
+        fits = (den * common >= num * (a[2][:, None] + b[2] - common)) & (a[1][:, None] != b[1])
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(fits), strict=True):
+            p, q = root(int(a[1][i])), root(int(b[1][j]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((int(max(a[0][i], b[0][j])), int(min(a[0][i], b[0][j]))))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, None
         for batch in batches:
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                one, two = (
-                    (np.array([m["id"] for m in x]), np.array([m["n"] for m in x]), np.array([m["component"] for m in x]), np.frombuffer(b"".join(m["bits"] for m in x), np.uint8).reshape(len(x), -1))
-                    for x in (left, right)
-                )
-                found = []
-                for i in range(len(one[0])):
-                    small, large = np.minimum(one[1][i], two[1]), np.maximum(one[1][i], two[1])
-                    may = np.flatnonzero((one[2][i] != two[2]) & (small * den >= large * num))
-                    if len(may):
-                        may = may[(two[3][may] == one[3][i]).sum(axis=1) >= least]
-                        found += [(one[0][i], two[0][j]) for j in may]
-                if found:
-                    a, b = np.array(found, np.int64).T
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
+            found = []
+            for key, kind, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                block = from_block(body.as_py())
+                if kind == 0:
+                    now, at = block, key
+                elif key == at:
+                    found += links(now, block)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     return run
 
@@ -217,20 +253,64 @@ def verified(num: int, den: int):
     return run
 
 
+def shingles_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of the classes in ``wanted`` (id, k1, k2)."""
+    few = wanted.count() <= BROADCAST_ROWS  # 24 bytes a row; beyond, the texts are shuffled
+    texts = docs.join(F.broadcast(wanted) if few else wanted.hint("merge"), "id").select("id", "text", "k1", "k2")
+    return materialize(texts.mapInArrow(sets(k), "id long, shingles binary"), "shingles")
+
+
 def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of class representatives whose full shingle sets are similar enough."""
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = materialize(classes.join(ids, "id").select("id", "k1", "k2"), "candidates")
-    few = wanted.count() <= BROADCAST_ROWS  # 24 bytes a row; beyond, the texts are shuffled
-    texts = docs.join(F.broadcast(wanted) if few else wanted.hint("merge"), "id").select("id", "text", "k1", "k2")
-    full = materialize(texts.mapInArrow(sets(k), "id long, shingles binary"), "shingles")
+    full = shingles_of(docs, wanted, k)
     x, y = (full.select(F.col("id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "x"), ("b", "y")))
-    links = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified(num, den), "a long, b long").distinct(), "links")
+    with arrow_rows(docs, 200):
+        links = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified(num, den), "a long, b long").distinct(), "links")
     discard(pairs, wanted, full)
     return links
 
 
+@contextmanager
+def arrow_rows(df: DataFrame, rows: int):
+    """Fewer rows to an Arrow batch for what is run inside, so that large rows stay within memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
+def between_components(docs: DataFrame, classes: DataFrame, families: DataFrame, components: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Confirmed links between the components of a family (documents that share buckets, directly or not).
+
+    A family with several components is cut into blocks of BLOCK documents in order of their components, and
+    each block meets those after it, except where both lie in one and the same component.  All sets of two
+    blocks are compared at once, in a task that holds two blocks; only links between components come out.
+    """
+    of = families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(components.withColumnRenamed("node", "id"), "id", "left").select("id", "family", F.coalesce("component", "id").alias("component"))
+    mixed = of.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("family")
+    place = F.row_number().over(W.partitionBy("family").orderBy("component", "id")) - 1
+    members = materialize(of.join(mixed, "family").withColumn("block", F.floor(place / BLOCK).cast("long")).withColumn("key", F.xxhash64("family", "block")), "members")
+    full = shingles_of(docs, materialize(classes.join(members.select("id"), "id").select("id", "k1", "k2"), "candidates"), k)
+    bounds = members.groupBy("family", "block", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    other = bounds.select("family", F.col("block").alias("block2"), F.col("key").alias("key2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    meets = materialize(bounds.join(other, "family").where("block <= block2 and not (low = high and low2 = high2 and low = low2)").select("key", "key2"), "meetings")
+    with arrow_rows(docs, 16):
+        rows = members.select("id", "key", "component").join(full, "id").select("key", "id", "component", "shingles")
+        blocks = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(in_runs(as_block), "key long, body binary"), "blocks")
+        first = blocks.join(meets.select("key").distinct(), "key", "left_semi").select("key", F.lit(0).alias("kind"), "body")
+        second = meets.join(blocks.withColumnRenamed("key", "key2"), "key2").select("key", F.lit(1).alias("kind"), "body")
+        both = first.unionByName(second).repartition("key").sortWithinPartitions("key", "kind")
+        links = materialize(both.mapInArrow(linked(num, den), "a long, b long").distinct(), "links")
+    discard(members, full, meets, blocks)
+    return links
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """Group documents whose word-shingle sets have Jaccard similarity of ``similarity`` (a ratio of integers) or more.
 
@@ -240,8 +320,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     1. Circulant MinHash signatures, band keys and a 128-bit key of each whole set.
     2. Equal sets form a class; only its least id goes on, so copies never meet in pairs.
     3. Stars: each document against the least one of each of its buckets, reduced inside a task first.
-    4. Confirmed stars give components; buckets that still hold several components are compared block
-       against block, skipping pairs that are connected already, so no link between components is lost.
+    4. Confirmed stars give components.  Documents that share buckets, directly or through others, form a
+       family; families of several components are compared block against block on full sets, skipping what
+       is connected already, so that no candidate pair between components is lost.
 
     A null text, or one without words, has an empty set and is linked with nothing.  A null id takes no part
     in links: its component_id is null and the row is kept.  Repeated rows are each returned; equal texts
@@ -250,33 +331,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     num, den = similarity
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = materialize(docs.mapInArrow(sketch(shingle), "id long, n long, k1 long, k2 long, bands binary, bits binary"), "sketches")
+    rows = materialize(docs.mapInArrow(sketch(shingle), "id long, n long, k1 long, k2 long, bands binary"), "sketches")
     known = rows.where("n > 0 and id is not null")
-    classes = materialize(known.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
+    classes = materialize(known.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
-    bands, kinds = classes.select("id", "n", "bands"), "kind int, key long, a long, n long, b long"
+    bands, kinds = classes.select("id", "n", "bands"), "key long, a long, b long"
     local = materialize(bands.mapInArrow(buckets(num, den, False), kinds), "stars")
     bucket = W.partitionBy("key")
-    heads = bands.mapInArrow(buckets(num, den, True), kinds).select("key", "a", "n", F.min(F.struct("a", "n")).over(bucket).alias("least"), F.sum("b").over(bucket).alias("many"))
-    heads = materialize(heads.where("many > 1"), "heads")
-    wide = heads.where(f"a != least.a and least(n, least.n) * {den} >= greatest(n, least.n) * {num}").select("a", F.col("least.a").alias("b"))
-    links = confirm(docs, classes, local.where("kind = 1").select("a", "b").unionByName(wide), shingle, num, den)
-    first = materialize(connected_components(links), "components")
-
-    shared = heads.select("key", "a", "n").unionByName(local.where("kind = 2").select("key", "a", "n"))
-    labelled = materialize(shared.join(first, F.col("a") == F.col("node"), "left").select("key", F.col("a").alias("id"), "n", F.coalesce("component", "a").alias("component")), "members")
-    discard(heads, local)
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    members = labelled.join(mixed, "key").join(classes.select("id", "bits"), "id")
-    # A component's members share blocks, so that two blocks of one large component are not compared.
-    ranked = members.selectExpr("*", f"floor((row_number() over (partition by key order by component, id) - 1) / {BLOCK}) as block")
-    blocks = ranked.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list(F.struct("id", "n", "component", "bits")).alias("members"))
-    blocks = materialize(blocks, "blocks")
-    other = blocks.select("key", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("members").alias("right"))
-    facing = blocks.withColumnRenamed("members", "left").join(other, "key").where("block <= block2 and not (low = high and low2 = high2 and low = low2)").select("left", "right")
-    late = confirm(docs, classes, facing.mapInArrow(across_blocks(num, den), "a long, b long"), shingle, num, den)
-    discard(labelled, blocks)
-    final = connected_components(links.unionByName(late)) if late.limit(1).count() else first
+    heads = bands.mapInArrow(buckets(num, den, True), kinds).select("a", F.col("b").alias("n"), F.min(F.struct("a", "b")).over(bucket).alias("least")).where("a != least.a")
+    wide = heads.select((F.least("n", "least.b") * den >= F.greatest("n", "least.b") * num).cast("long").alias("key"), "a", F.col("least.a").alias("b"))
+    stars = materialize(local.unionByName(wide).distinct(), "all-stars")
+    discard(local)
+    links = confirm(docs, classes, stars.where("key = 1"), shingle, num, den)
+    components = materialize(connected_components(links), "components")
+    families = materialize(connected_components(stars), "families")
+    late = between_components(docs, classes, families, components, shingle, num, den)
+    final = connected_components(links.unionByName(late))
 
     of_class = classes.join(final, classes["id"] == final["node"], "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     wordless = rows.where("n = 0 or id is null").select("id", "n", F.when(F.col("id").isNotNull(), F.col("id")).alias("component"))
