@@ -5,6 +5,6 @@ from tidemark.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tidemark-tests", cores=8, partitions=4)
+    session = local_session("tidemark-tests", cores=4, partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
