@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import new_path
-from .tokens import encoder
+from .tokens import Encoder, encoder
 
 MAGIC = b"TMDAC001"
 CHUNK_BITS, BLOCK_BITS = 8, 512
@@ -86,6 +86,13 @@ class Codes:
         out[part] += ONES[bits[byte[part]] & ((1 << (at[part] % 8)) - 1)]
         return out
 
+    @staticmethod
+    def rank_one(bits: np.ndarray, ranks: np.ndarray, at: int) -> int:
+        """Set bits before one position."""
+        block, byte = at // BLOCK_BITS, at // 8
+        out = int(ranks[block]) + int(ONES[bits[block * (BLOCK_BITS // 8) : byte]].sum())
+        return out + (int(ONES[bits[byte] & ((1 << (at % 8)) - 1)]) if at % 8 else 0)
+
     def access(self, positions) -> np.ndarray:
         """The ids at any positions, without decoding others."""
         at = np.asarray(positions, np.int64)
@@ -104,7 +111,7 @@ class Codes:
         for chunks, bits, ranks in self.levels:
             more = np.unpackbits(bits[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)
             slices.append((chunks[a:b].astype(np.uint32), more))
-            a = int(self.rank(bits, ranks, np.array([a]))[0])
+            a = self.rank_one(bits, ranks, a)
             b = a + int(more.sum())
         out = np.zeros(0, np.uint32)
         for chunks, more in reversed(slices):
@@ -117,6 +124,12 @@ class Codes:
         return self.range(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def encoded(encode: Encoder, texts, end: int, at_once: int = 128) -> Iterator[np.ndarray]:
+    """The ids of an Arrow column of texts, some at a time."""
+    for at in range(0, len(texts), at_once):
+        yield from encode.ids_of(texts.slice(at, at_once).to_pylist(), end)
+
+
 def encode_sorted(path: str, end: int):
     """Rows in order to file images; ``start`` counts the ids before the image in this partition."""
 
@@ -128,8 +141,7 @@ def encode_sorted(path: str, end: int):
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "seq": pa.array([seq], pa.int64()), "start": pa.array([start], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "image": pa.array([image], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = encode.ids(text.as_py(), end)
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoded(encode, batch.column(1), end), strict=True):
                 ids.append(doc_id), arrays.append(found)
                 size += len(found)
                 if size >= SHARD_TOKENS:

@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-#: Pieces kept by a worker before it starts anew.
-KEPT_PIECES = 400_000
+#: Pieces that a worker keeps in each of two generations, and pieces encoded as one text.
+KEPT_PIECES, BUNDLE = 500_000, 4096
 SPACED = re.compile(r"\s*\S+|\s+$")
 #: str.split() and \s take these for white space, the tokenizers do not.
 OWN_SPACE = "\x1c\x1d\x1e\x1f"
@@ -39,27 +39,73 @@ class Encoder:
                 self.cut = str.split
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _bundled(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of distinct pieces.  Many make one text, which costs far less than a call for each; a token
+        belongs to the piece that its first character lies in."""
+        gap = " " if self.cut is str.split else ""
+        joins = pieces if gap else [p for p in pieces if p[0].isspace() and not p.isspace()]
+        alone = [] if gap else [p for p in pieces if not (p[0].isspace() and not p.isspace())]
+        out = dict(zip(alone, self._plain(alone), strict=True))
+        for at in range(0, len(joins), BUNDLE):
+            part = joins[at : at + BUNDLE]
+            found = self.tokenizer.encode(gap.join(part), add_special_tokens=False)
+            ends = np.cumsum([len(p) + len(gap) for p in part])
+            first = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            cuts = np.searchsorted(np.searchsorted(ends, first, "right"), np.arange(len(part) + 1)) * self.dtype.itemsize
+            raw = np.array(found.ids, self.dtype).tobytes()
+            out.update((p, raw[a:b]) for p, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.known) > KEPT_PIECES:
+            self.known, self.older = {}, self.known
+        new = []
+        for p in dict.fromkeys(pieces):
+            if p not in self.known:
+                if p in self.older:
+                    self.known[p] = self.older[p]
+                else:
+                    new.append(p)
+        self.known.update(self._bundled(new))
+
     def encode(self, text: str) -> bytes:
-        if self.cut is None or any(c in text for c in OWN_SPACE):
-            return self._plain([text])[0]
-        pieces = self.cut(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            if len(known) > KEPT_PIECES:
-                known.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            known.update(zip(new, self._plain(new), strict=True))
-            return b"".join([known[p] for p in pieces])
-
-    def ids(self, text: str, end: int) -> np.ndarray:
-        """The ids of ``text`` and then ``end``."""
-        return np.frombuffer(self.encode(text) + np.array([end], self.dtype).tobytes(), self.dtype)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Texts together, so that their unknown pieces are bundled."""
+        out: list[bytes | None] = [None] * len(texts)
+        cut, unknown = {}, []
+        for i, text in enumerate(texts):
+            if self.cut is None or any(c in text for c in OWN_SPACE):
+                out[i] = self._plain([text])[0]
+                continue
+            pieces = self.cut(text)
+            try:
+                known = self.known
+                out[i] = b"".join([known[p] for p in pieces])
+            except KeyError:
+                cut[i] = pieces
+                unknown += [p for p in pieces if p not in known]
+        if unknown:
+            self._learn(unknown)
+        for i, pieces in cut.items():
+            try:
+                known = self.known
+                out[i] = b"".join([known[p] for p in pieces])
+            except KeyError:  # a generation ended in between
+                self._learn(pieces)
+                out[i] = b"".join([self.known[p] for p in pieces])
+        return out
+
+    def ids_of(self, texts: list[str], end: int) -> list[np.ndarray]:
+        """The ids of each text and then ``end``."""
+        last = np.array([end], self.dtype).tobytes()
+        return [np.frombuffer(x + last, self.dtype) for x in self.encode_all(texts)]
 
 
 _encoders: dict[str, Encoder] = {}
