@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .token_codes import encoded
 from .tokens import encoder
 
 #: Documents and ids of one shard's index.
@@ -125,8 +126,8 @@ def packed_rows(tokenizer: str, end: int, length: int, keep_ids: bool):
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(doc_id), docs.append(encode.ids(text.as_py(), end))
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoded(encode, batch.column(1), end), strict=True):
+                ids.append(doc_id), docs.append(found)
                 size += len(docs[-1])
                 if len(docs) >= SHARD_DOCS or size >= SHARD_TOKENS:
                     yield flush()
