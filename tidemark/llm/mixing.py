@@ -13,6 +13,8 @@ from .shared import materialize
 #: Domains of the labelled table: 2 * quality + toxic.
 DOMAINS = {0: "low", 1: "low_toxic", 2: "good", 3: "good_toxic"}
 BINS, STEPS, STAT_BINS = 8192, 24, 64
+#: Labelled rows that the classifier is fitted on: those with the least hashes of their ids.
+TRAIN_ROWS = 20_000
 #: Weight of the mean log odds of a text's words beside that of its statistics.
 WORD_WEIGHT = 40.0
 UPPER, DIGITS, SIGNS, CALLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#$%&*|=~^<>{}[]_", "!?"
@@ -24,9 +26,12 @@ def share_bin(chars: str) -> Column:
     return F.least(F.lit(11), F.floor(F.log2(share * 1024 + 1))).cast("int")
 
 
-def described(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, tokens, bins, stats): hashed words and binned statistics of every whole text."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def plain(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """(doc_id, tokens, bins, stats, and other columns but the text): hashed words and binned statistics of whole texts."""
     words = F.filter(F.split(F.lower("text"), r"[ \t-\r]+"), lambda w: w != "")
     bins = F.transform("words", lambda w: F.pmod(F.hash(w), F.lit(BINS)))
     fresh = F.size(F.array_distinct("bins")) / F.greatest(F.size("bins"), F.lit(1))
@@ -35,7 +40,8 @@ def described(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.floor(fresh * 20).cast("int"), F.least(F.lit(20), F.floor(F.length("text") / F.greatest(F.size("bins"), F.lit(1)))).cast("int"),
     ]
     numbered = F.array(*[s + F.lit(STAT_BINS * i) for i, s in enumerate(stats)])
-    return docs.withColumn("words", words).withColumn("bins", bins).select("doc_id", F.size("bins").cast("long").alias("tokens"), "bins", numbered.alias("stats"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.withColumn("words", words).withColumn("bins", bins).select("doc_id", F.size("bins").cast("long").alias("tokens"), "bins", numbered.alias("stats"), *rest)
 
 
 def log_table(values: np.ndarray) -> Column:
@@ -51,14 +57,17 @@ def summed(features: str, table: Column) -> Column:
 def posteriors(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[int]]:
     """(doc_id, tokens, p array<double>): domain probabilities by naive Bayes over words and statistics.
 
-    ``docs`` is described(); ``labels`` has doc_id, quality and toxic.  All labelled rows count; the tables of
-    counts have at most (BINS + 7 * STAT_BINS) rows for each domain.  A domain without rows is absent.
+    ``docs`` has doc_id and text; ``labels`` has doc_id, quality and toxic.  At most TRAIN_ROWS labelled rows are
+    broadcast to the scan and fitted on; every document is scored.  The tables of counts have at most
+    (BINS + 7 * STAT_BINS) rows for each domain.  A domain without rows is absent.
     """
-    marks = labels.where("quality in (0, 1) and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), (2 * F.col("quality") + F.col("toxic")).cast("int").alias("domain"))
-    known = docs.join(marks, "doc_id").select("domain", F.array_distinct("bins").alias("bins"), "stats")
+    marks = labels.where("quality in (0, 1) and toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (2 * F.col("quality") + F.col("toxic")).cast("int").alias("domain"))
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(TRAIN_ROWS)
+    known = described(docs.join(F.broadcast(marks), "doc_id")).withColumn("bins", F.array_distinct("bins"))
     features = F.concat("bins", F.transform("stats", lambda s: s + F.lit(BINS)), F.array(F.lit(-1)))
     counts = known.select("domain", F.explode(features).alias("f")).groupBy("domain", "f").agg(F.count("*").alias("n")).collect()
     domains = sorted({r["domain"] for r in counts})
+    docs = described(docs)
     if not domains:
         return docs.select("doc_id", "tokens", F.array(F.lit(1.0)).alias("p")), [2]
     table = np.zeros((len(domains), BINS + 7 * STAT_BINS))
@@ -128,7 +137,7 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float], budget: flo
     repeated rows are rated alike; other columns are ignored.  Without labels all belong to "good".  An empty
     table gives an empty result.
     """
-    soft, domains = posteriors(described(df, id_col, text_col), labels)
+    soft, domains = posteriors(plain(df, id_col, text_col), labels)
     soft = materialize(soft, "posteriors")
     wanted = np.array([max(weights.get(DOMAINS[i], 0.0), 0.0) for i in domains])
     wanted = wanted / wanted.sum() if wanted.sum() else np.full(len(domains), 1 / len(domains))
