@@ -15,6 +15,8 @@ DOMAINS = {0: "low", 1: "low_toxic", 2: "good", 3: "good_toxic"}
 BINS, STEPS, STAT_BINS = 8192, 24, 64
 #: Labelled rows that the classifier is fitted on: those with the least hashes of their ids.
 TRAIN_ROWS = 20_000
+#: Rows' worth of the rate over all domains in each domain's counts.
+SHRINK = 20.0
 #: Weight of the mean log odds of a text's words beside that of its statistics.
 WORD_WEIGHT = 40.0
 UPPER, DIGITS, SIGNS, CALLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#$%&*|=~^<>{}[]_", "!?"
@@ -77,8 +79,9 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[int]
             rows[domains.index(r["domain"])] = r["n"]
         else:
             table[domains.index(r["domain"]), r["f"]] = r["n"]
-    logs = np.log((table + 0.5) / (rows[:, None] + 1))
-    logs -= logs.mean(axis=0)
+    # Shrunk towards the rate over all domains, so that what a small domain has not shown yet tells nothing.
+    base = (table.sum(axis=0) + 0.5) / (rows.sum() + 1)
+    logs = np.log((table + SHRINK * base) / (rows[:, None] + SHRINK)) - np.log(base)
     prior = np.log(rows / rows.sum())
     scores = []
     for i in range(len(domains)):
@@ -90,16 +93,17 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[int]
     return scored.withColumn("e", powers).select("doc_id", "tokens", F.transform("e", lambda x: x / total).alias("p")), domains
 
 
-def fit_rates(soft: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = 1e-6) -> Column:
+def fit_rates(soft: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = 1e-6, p: Column | None = None) -> Column:
     """The rate column that makes the domains' expected token totals meet ``targets``, by projected gradient.
 
     Minimises the least-squares residual of the totals over rates >= 0.  They start at the posterior mean of
     each domain's target over its total.  The gradient is taken in the metric that weighs each document by its tokens and preconditioned by the Gram matrix of the
     documents whose rate is positive; a step that makes the residual worse is halved.  A step is one aggregation
-    that brings a few sums for each domain to the driver; the rate is an expression of the steps' sums.
+    that brings a few sums for each domain to the driver; the rate is an expression of the steps' sums, over the
+    column p or ``p``.
     """
     d = len(targets)
-    p = [F.element_at("p", i + 1) for i in range(d)]
+    p = [F.element_at("p" if p is None else p, i + 1) for i in range(d)]
 
     def sums(rate: Column) -> tuple[np.ndarray, np.ndarray]:
         live = F.when(rate > 0, F.col("tokens")).otherwise(0)
@@ -131,7 +135,8 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float], budget: flo
 
     Returns doc_id, tokens (words), p_low, p_low_toxic, p_good, p_good_toxic, rate and copies; copies is the rate
     rounded up or down by a hash of the id, so that it has the rate as its mean.  ``budget`` is the wanted total;
-    None takes the largest one that needs no domain more than once.  Weights of absent domains are left out.
+    None takes the largest one that needs no domain more than once.  Domains without rows or without a positive
+    weight have no target: their documents follow what they share with the others.
 
     A null text has no tokens and the rate 1 less what its prior gives; null ids round by one common hash;
     repeated rows are rated alike; other columns are ignored.  Without labels all belong to "good".  An empty
@@ -139,12 +144,15 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float], budget: flo
     """
     soft, domains = posteriors(plain(df, id_col, text_col), labels)
     soft = materialize(soft, "posteriors")
-    wanted = np.array([max(weights.get(DOMAINS[i], 0.0), 0.0) for i in domains])
-    wanted = wanted / wanted.sum() if wanted.sum() else np.full(len(domains), 1 / len(domains))
-    have = np.array([x or 0.0 for x in soft.agg(*[F.sum(F.col("tokens") * F.element_at("p", i + 1)) for i in range(len(domains))]).first()], float)
+    named = [i for i in domains if weights.get(DOMAINS[i], 0.0) > 0]
+    kept = F.array(*[F.element_at("p", domains.index(i) + 1) for i in named]) if named else F.array(F.lit(0.0))
+    wanted = np.array([weights[DOMAINS[i]] for i in named] or [1.0])
+    wanted = wanted / wanted.sum()
+    aimed = soft.select("tokens", kept.alias("p"))
+    have = np.array([x or 0.0 for x in aimed.agg(*[F.sum(F.col("tokens") * F.element_at("p", i + 1)) for i in range(len(wanted))]).first()], float)
     if budget is None:
-        budget = min((h / w for h, w in zip(have, wanted, strict=True) if w > 0), default=0.0)
-    rate = fit_rates(soft, wanted * budget) if have.sum() else F.lit(1.0)
+        budget = float((have / wanted).min())
+    rate = fit_rates(soft, wanted * budget, p=kept) if have.all() else F.lit(1.0)
     columns = [(F.element_at("p", domains.index(i) + 1) if i in domains else F.lit(0.0)).alias(f"p_{name}") for i, name in DOMAINS.items()]
     rated = soft.select("doc_id", "tokens", *columns, rate.alias("rate"))
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 30)) / F.lit(float(1 << 30))
