@@ -112,7 +112,7 @@ def test_mixing_meets_its_targets(spark):
     assert len(rows) == docs.count() and all(r["rate"] >= 0 for r in rows)
     names = list(WEIGHTS)
     totals = np.array([sum(r["tokens"] * r["rate"] * r[f"p_{n}"] for r in rows) for n in names])
-    assert np.abs(totals / totals.sum() - np.array([WEIGHTS[n] for n in names])).max() < 1e-3
+    assert np.abs(totals / totals.sum() - np.array([WEIGHTS[n] for n in names])).max() < 1e-4
     assert all(abs(sum(r[f"p_{n}"] for n in mixing.DOMAINS.values()) - 1) < 1e-9 for r in rows)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(r["tokens"] == len(re.findall(r"[^\x20\x09-\x0d]+", texts[r["doc_id"]] or "")) for r in rows)
@@ -130,7 +130,7 @@ def test_rates_meet_targets_at_the_bound(spark):
     targets = np.array([0.03, 0.92, 0.05]) * t.sum()
     got = np.array([r["r"] for r in soft.select("doc_id", mixing.fit_rates(soft, targets).alias("r")).orderBy("doc_id").collect()])
     assert (got >= 0).all() and (got == 0).any()
-    assert np.allclose((t * got) @ p, targets, rtol=1e-5)
+    assert np.abs((t * got) @ p - targets).max() < 1e-5 * t.sum()
 
 
 def test_mixing_of_odd_rows(spark):
