@@ -124,7 +124,7 @@ class Codes:
         return self.range(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def encoded(encode: Encoder, texts, end: int, at_once: int = 128) -> Iterator[np.ndarray]:
+def encoded(encode: Encoder, texts, end: int, at_once: int = 256) -> Iterator[np.ndarray]:
     """The ids of an Arrow column of texts, some at a time."""
     for at in range(0, len(texts), at_once):
         yield from encode.ids_of(texts.slice(at, at_once).to_pylist(), end)

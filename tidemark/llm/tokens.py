@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Pieces that a worker keeps in each of two generations, and pieces encoded as one text.
-KEPT_PIECES, BUNDLE = 500_000, 4096
+KEPT_PIECES, BUNDLE = 1_000_000, 4096
 SPACED = re.compile(r"\s*\S+|\s+$")
 #: str.split() and \s take these for white space, the tokenizers do not.
 OWN_SPACE = "\x1c\x1d\x1e\x1f"
