@@ -181,3 +181,39 @@ def test_cached_payloads(spark, tmp_path):
     schema = "url string, status int, body string"
     old, new = spark.createDataFrame([("a", 200, "old"), ("b", 200, "keep")], schema), spark.createDataFrame([("a", 304, None), ("c", 200, "new")], schema)
     assert {r["url"]: r["body"] for r in payloads.latest(old, new).collect()} == {"a": "old", "b": "keep", "c": "new"}
+
+
+def test_detail_pages(spark):
+    from tidemark.sources import details
+
+    body = "word " * 40
+    plain = f"<nav>menu</nav><main><p>Team · Rome · Hybrid</p><h1>Dev</h1><p>Employment type:</p><p>Full-time</p><p>{body}</p></main><footer>x</footer>"
+    ld = f'<script type="application/ld+json">{json.dumps({"@type": "JobPosting", "title": "LD", "url": "/jobs/1", "description": "<p>a long description here</p>"})}</script>'
+    got = {r["payload_id"]: r for r in details.detail_pages(landed(spark, plain, ld, "<p>short</p>")).collect()}
+    assert (got["p0"]["title"], got["p0"]["location"], got["p0"]["workplace_type"], got["p0"]["employment_type"], got["p0"]["parser"]) == ("Dev", "Rome", "Hybrid", "Full-time", "main_text")
+    assert "menu" not in got["p0"]["description"] and got["p1"]["description"] == "a long description here" and got["p1"]["parser"] == "json_ld_jobposting" and got["p2"]["problem"] == "too little text"
+
+
+def test_detail_answers(spark):
+    from tidemark.sources import details
+
+    one = lambda kind, body: details.detail_json(landed(spark, body), kind).first()
+    r = one("workday", {"jobPostingInfo": {"location": "A", "additionalLocations": ["B", "A"], "timeType": "Full", "jobDescription": "<p>x</p>"}})
+    assert (r["location"], r["employment_type"], r["description"]) == ("A | B", "Full", "x")
+    r = one("smartrecruiters", {"location": {"city": "A", "country": "it"}, "jobAd": {"sections": {"qualifications": {"text": "q"}, "jobDescription": {"text": "d"}}}})
+    assert (r["location"], r["description"]) == ("A, it", "d\n\nq")
+    r = one("oracle", {"items": [{"PrimaryLocation": "P", "JobType": "J", "ExternalDescriptionStr": "a", "ExternalQualificationsStr": "a"}]})
+    assert (r["location"], r["employment_type"], r["description"]) == ("P", "J", "a")
+
+
+def test_contracts(spark):
+    from tidemark.sources import contracts
+
+    schema = {"type": "object", "required": ["id"], "additionalProperties": False, "properties": {"id": {"type": "string", "pattern": "^j"}, "n": {"type": "integer", "minimum": 1}, "u": {"$ref": "#/defs/uri"}, "k": {"enum": ["a"]}, "l": {"type": "array", "minItems": 1, "items": {"type": "string"}}}, "defs": {"uri": {"type": "string", "format": "uri"}}}
+    assert contracts.problems({"id": "j1", "n": 2, "u": "https://x", "k": "a", "l": ["z"]}, schema) == []
+    assert len(contracts.problems({"id": "x", "n": 0, "u": "no", "k": "b", "l": [], "z": 1}, schema)) == 6
+    assert contracts.problems({}, schema) == ["$: lacks id"] and contracts.problems(True, {"type": "integer"}) == ["$: is not integer"]
+    assert contracts.problems(3, {"oneOf": [{"minimum": 1}, {"maximum": 5}]}) and contracts.problems(3, {"not": {"minimum": 1}}) and not contracts.problems(3, {"anyOf": [{"minimum": 9}, {"maximum": 5}]})
+    df = spark.createDataFrame([("j1", 1), ("x", 0), (None, 5)], "id string, n int")
+    tests = contracts.expectations({"required": ["id"], "properties": {"id": {"pattern": "^j"}, "n": {"minimum": 1}}})
+    assert [sum(not r[i] for i in range(3)) for r in df.select(*[t.alias(str(i)) for i, t in enumerate(tests.values())]).collect()] == [0, 2, 1]

@@ -750,3 +750,178 @@ def j13_j16_overlap(s: Source) -> DataFrame:
     boards = s.part.where("p_partkey < 400").select(F.lit("lever").alias("family"), F.concat(F.lit("acme"), p % 30).alias("slug"), F.concat(F.lit("https://board.example/"), p).alias("url"), F.concat(F.lit("Acme-"), p % 40).alias("name"), F.lit("").alias("domain"))
     out = resolve.overlap(companies, boards)
     return out.select("company_id", F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("p_partkey"), F.col("match_basis").alias("basis"))
+
+
+# --- registry, queues and further state ------------------------------------------------------------------
+
+
+@query("""with m as (select distinct l_suppkey, l_partkey % 50 as portal from lineitem) select portal, count(distinct n_name) as names from m join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by 1""")
+def j3_mapping_join(s: Source) -> DataFrame:
+    m = s.lineitem.select("l_suppkey", (F.col("l_partkey") % 50).alias("portal")).distinct()
+    return m.join(s.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(s.nation, F.col("n_nationkey") == F.col("s_nationkey")).groupBy("portal").agg(F.count_distinct("n_name").alias("names"))
+
+
+@query(f"""with {CLUSTERS}, r as (select p_partkey, case when p_partkey % 7 = 0 then 'c' || (p_partkey % 150) else '' end as given, 'Supplier ' || (p_partkey % 70) as employer, 'supplier ' || (p_partkey % 70) as k from part)
+select p_partkey, case when given in (select corporate_cluster_id from clusters) then 'explicit' when len(ids) = 1 then 'name' else 'unmatched' end as match_method from r left join names on names.k = r.k""")
+def j12_reconcile(s: Source) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = s.part.select("p_partkey", F.when(k % 7 == 0, F.concat(F.lit("c"), k % 150)).otherwise("").alias("given_cluster_id"), F.concat(F.lit("Supplier "), k % 70).alias("employer"))
+    aliases = s.spark.createDataFrame([], "normalized_alias string, corporate_cluster_id string")
+    return resolve.reconcile(rows, clusters_of(s), aliases).select("p_partkey", "match_method")
+
+
+@query("""with m as (select l_partkey % 120 as portal_id, l_suppkey, 'f' || (l_suppkey % 3) as family from lineitem where l_partkey % 120 < 80), a as (select portal_id, count(distinct l_suppkey) as n, count(distinct family) as families from m group by 1)
+select s_suppkey as id, coalesce(n, 0) as cluster_count, coalesce(families, 0) as families, n is not null as active_in_registry, case when n is null then 'RETIRED' else 'HEALTHY' end as health_state from supplier left join a on portal_id = s_suppkey""")
+def a14_portal_refresh(s: Source) -> DataFrame:
+    none = F.array().cast("array<string>")
+    portals = s.supplier.select(F.col("s_suppkey").alias("id"), F.lit(0).cast("long").alias("cluster_count"), none.alias("ats_families"), F.lit(False).alias("metadata_conflict"), F.lit(True).alias("active_in_registry"), F.lit("HEALTHY").alias("health_state"))
+    m = s.lineitem.where("l_partkey % 120 < 80").select((F.col("l_partkey") % 120).alias("portal_id"), F.col("l_suppkey").alias("corporate_cluster_id"), F.concat(F.lit("f"), F.col("l_suppkey") % 3).alias("ats_family"), F.lit("x").alias("ats_confidence"))
+    return resolve.refresh_portals(portals, m).select("id", "cluster_count", F.size("ats_families").cast("long").alias("families"), "active_in_registry", "health_state")
+
+
+@query("""select p_brand as cohort, count(distinct p_type) as employers, count(*) as sources, count(*) filter (where p_size > 25) as ready from part group by 1""")
+def a17_resolution_summary(s: Source) -> DataFrame:
+    return s.part.groupBy(F.col("p_brand").alias("cohort")).agg(F.count_distinct("p_type").alias("employers"), F.count("*").alias("sources"), F.count_if(F.col("p_size") > 25).alias("ready"))
+
+
+@query("""select count(*) filter (where o_custkey not in (select c_custkey from customer where c_custkey % 3 = 0)) as "create", count(*) filter (where o_custkey in (select c_custkey from customer where c_custkey % 3 = 0)) as reuse from orders""")
+def a18_dry_run(s: Source) -> DataFrame:
+    return lifecycle.change_counts(s.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("url")), s.orders.select(F.col("o_custkey").alias("url")))
+
+
+@query("select n_name as family, count(*) as candidates, count(distinct c_mktsegment) as companies from customer join nation on n_nationkey = c_nationkey group by 1")
+def a19_import_distribution(s: Source) -> DataFrame:
+    return s.customer.join(s.nation, F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("n_name").alias("family")).agg(F.count("*").alias("candidates"), F.count_distinct("c_mktsegment").alias("companies"))
+
+
+@query("select s_suppkey as id, case when s_nationkey in (2, 5) then '2024-01-02 12:00:00' end as cooldown_until, case when s_nationkey in (2, 5) then 'r' || s_nationkey end as last_block_reason from supplier")
+def t9_cooldown(s: Source) -> DataFrame:
+    portals = s.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("string").alias("host"), F.lit(None).cast("timestamp").alias("cooldown_until"), F.lit(None).cast("string").alias("last_block_reason"))
+    blocks = s.nation.where("n_nationkey in (2, 5)").select(F.col("n_nationkey").cast("string").alias("host"), F.concat(F.lit("r"), F.col("n_nationkey")).alias("reason"))
+    out = lifecycle.spread_cooldown(portals, blocks, F.lit("2024-01-01 12:00:00").cast("timestamp"), 24)
+    return out.select("id", F.date_format("cooldown_until", "yyyy-MM-dd HH:mm:ss").alias("cooldown_until"), "last_block_reason")
+
+
+@query("select s_suppkey as portal_id, case when s_suppkey % 3 = 0 then 'SUCCESS' else 'FAILED' end as status, case when s_suppkey % 3 = 0 then null else 'RunTimeout' end as error_type from supplier")
+def t10_failures_for_the_rest(s: Source) -> DataFrame:
+    targets = s.supplier.select(F.col("s_suppkey").alias("portal_id"))
+    results = targets.where("portal_id % 3 = 0").select("portal_id", F.lit("SUCCESS").alias("status"), F.lit(None).cast("string").alias("error_type"))
+    return lifecycle.with_failures(targets, results)
+
+
+@query("select c_custkey as id, case when c_custkey % 4 = 0 then 'new' || c_custkey else c_name end as title, case when c_custkey % 4 = 0 then 'PENDING_AI' else 'CYBER' end as ai_status from customer")
+def t12_store_details(s: Source) -> DataFrame:
+    k = F.col("c_custkey")
+    jobs = s.customer.select(k.alias("id"), F.lit("h").alias("detail_hash"), F.col("c_name").alias("title"), F.lit("CYBER").alias("ai_status"))
+    details = s.customer.where(k % 2 == 0).select(k.alias("id"), F.when(k % 4 == 0, "h2").otherwise("h").alias("detail_hash"), F.concat(F.lit("new"), k).alias("title"))
+    return lifecycle.store_details(jobs, details, ["title"]).drop("detail_hash")
+
+
+@query("select count(*) as n, count(*) filter (where c_custkey % 5 = 0) as rebuilt from customer")
+def t14_backfill(s: Source) -> DataFrame:
+    k = F.col("c_custkey")
+    jobs = s.customer.select(k, F.when(k % 5 == 0, "").otherwise(F.col("c_name")).alias("name"), F.when(k % 5 == 0, "old").otherwise(F.sha2("c_name", 256)).alias("payload_sha256"), F.lit("CYBER").alias("ai_status"))
+    out = lifecycle.backfill(jobs, {"name": F.concat(F.lit("Customer#"), k)}, F.sha2("name", 256))
+    return out.agg(F.count("*").alias("n"), F.count_if(F.col("rebuilt") & (F.col("ai_status") == "PENDING_AI")).alias("rebuilt"))
+
+
+@query("""select n_nationkey as cluster_id, case when n_nationkey % 3 = 0 then 'new' || n_nationkey else n_name end as url, n_nationkey % 3 <> 2 as enabled from nation where n_nationkey % 4 <> 3 or n_nationkey % 3 <> 1""")
+def t16_registry_changes(s: Source) -> DataFrame:
+    k = F.col("n_nationkey")
+    mappings = s.nation.select(k.cast("string").alias("cluster_id"), F.col("n_name").alias("url"), F.lit(True).alias("enabled"))
+    action = F.when(k % 3 == 0, "UPDATE").when(k % 3 == 2, "SUSPEND").when(k % 4 == 3, "RETIRE")
+    changes = s.nation.withColumn("action", action).where("action is not null").select(k.cast("string").alias("cluster_id"), "action", F.col("n_name").alias("old_url"), F.when(F.col("action") == "UPDATE", F.concat(F.lit("new"), k)).alias("new_url"), F.lit("r").alias("reason"))
+    return lifecycle.apply_changes(mappings, changes)[0].withColumn("cluster_id", F.col("cluster_id").cast("int"))
+
+
+@query("select 'a' || n_nationkey as normalized_alias, case when n_nationkey % 2 = 0 then 'VERIFIED' else 'PROPOSED' end as status from nation")
+def t17_alias_merge(s: Source) -> DataFrame:
+    row = lambda df, status: df.select(F.concat(F.lit("a"), "n_nationkey").alias("normalized_alias"), F.col("n_regionkey").cast("string").alias("corporate_cluster_id"), F.lit(status).alias("status"))
+    stored = row(s.nation.where("n_nationkey % 2 = 1 or n_nationkey < 10"), "PROPOSED")
+    return lifecycle.merge_aliases(stored, row(s.nation.where("n_nationkey % 2 = 0"), "VERIFIED"))[0].select("normalized_alias", "status")
+
+
+@query("select s_suppkey as id, 'UNKNOWN' as health_state, 0 as consecutive_failures from supplier")
+def t20_cleared(s: Source) -> DataFrame:
+    rows = s.supplier.select(F.col("s_suppkey").alias("id"), F.lit("BROKEN").alias("health_state"), F.col("s_nationkey").cast("int").alias("consecutive_failures"))
+    return lifecycle.cleared(rows)
+
+
+@query("select conv_id, string_agg(t, chr(10) || chr(10) order by turn) as body from (select conv_id, t, min(turn) as turn from (select conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as t from conversations) where t <> '' group by 1, 2) group by 1")
+def n8_join_sections(s: Source) -> DataFrame:
+    turns = s.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("parts"))
+    return turns.select("conv_id", text.join_sections(F.col("parts")).alias("body"))
+
+
+@query("select user_id, 'k=' || max(k) || '; z=1' as meta from (select user_id, lpad(json_extract_string(props, '$.k'), 3, '0') as k from events) group by 1")
+def n27_compact_metadata(s: Source) -> DataFrame:
+    k = F.lpad(F.get_json_object("props", "$.k"), 3, "0")
+    rows = s.events.groupBy("user_id").agg(F.max(k).alias("k"))
+    body = F.to_json(F.struct("k", F.lit("1").alias("z"), F.lit("no").alias("other")))
+    return rows.select("user_id", values.compact_metadata(body, ["k", "missing", "z"]).alias("meta"))
+
+
+@query("select o_orderkey, case when o_orderkey % 3 = 0 then 'seniority: unclear' when o_orderkey % 3 = 1 then 'geography: review required | company: none' else '' end as signals from orders")
+def n32_ambiguity_signals(s: Source) -> DataFrame:
+    from .dashboard import ambiguity_signals
+
+    k = F.col("o_orderkey") % 3
+    decision = F.when(k == 0, '{"seniority": {"status": "REVIEW", "reason": "unclear"}}').when(k == 1, '{"geography": {"status": "REVIEW"}}').otherwise('{"cyber": {"status": "INCLUDE"}}')
+    resolution = F.when(k == 1, '{"method": "none"}').otherwise('{"corporate_cluster_id": "c"}')
+    return s.orders.select("o_orderkey", F.array_join(ambiguity_signals(decision, resolution), " | ").alias("signals"))
+
+
+@query("select p_partkey, case when p_partkey % 2 = 0 then '{\"a\": ' || p_partkey || '}' end as cleaned from part")
+def n37_model_json(s: Source) -> DataFrame:
+    k = F.col("p_partkey")
+    said = F.when(k % 2 == 0, F.concat(F.lit('```json\n{"a": '), k, F.lit("}\n```"))).otherwise("sorry")
+    return s.part.select("p_partkey", text.model_json(said).alias("cleaned"))
+
+
+@query("select n_regionkey, array_to_string(list_sort(list(n_nationkey || ':' || n_name)), '|') as flat from nation group by 1")
+def n38_code_names(s: Source) -> DataFrame:
+    items = s.nation.groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"))).alias("items"))
+    return items.select("n_regionkey", values.code_names(F.col("items")).alias("flat"))
+
+
+@query("select n_regionkey, 'NATION' as prefix from (select distinct n_regionkey from nation)")
+def w10_common_prefix(s: Source) -> DataFrame:
+    names = s.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.replace("n_name", F.lit("_"), F.lit(" ")))).alias("names"))
+    return names.select("n_regionkey", text.common_prefix(F.col("names")).alias("prefix"))
+
+
+@query("select c_custkey, case when c_custkey % 5 = 0 then 'UNSUPPORTED' when c_custkey % 2 = 0 then 'PERMISSIVE' else 'SAFE' end as verdict from customer")
+def f18_safety(s: Source) -> DataFrame:
+    k = F.col("c_custkey")
+    return s.customer.select("c_custkey", predicates.safety_verdict(k % 5 == 0, k % 2 == 0).alias("verdict"))
+
+
+def rows_only(f):
+    """Register a query that SQL does not state."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Source(importable(spark), sf_dir))
+    return f
+
+
+@rows_only
+def j19_fuzzy_proposals(s: Source) -> DataFrame:
+    none = s.spark.createDataFrame([], "alias string, corporate_cluster_id string, status string")
+    return resolve.propose_aliases(clusters_of(s), none, ["suplier 12", "Supplyer 3"], 0.72, 5).drop("representative")
+
+
+@rows_only
+def d3_greedy_assignment(s: Source) -> DataFrame:
+    rows = dedup.keyed(
+        s.events.select(
+            F.col("event_id").alias("ordinal"), F.lit(None).cast("string").alias("canonical_job_id"), F.concat(F.lit("N"), "event_id").alias("new_id"), F.lit("s").alias("source"), F.concat("user_id", F.lit("-"), F.dayofmonth("ts")).alias("source_job_id"), F.lit("").alias("apply_url"),
+            F.col("user_id").cast("string").alias("corporate_cluster_id"), F.col("event_type").alias("title"), F.lit("").alias("location"), F.lit("").alias("ats_job_id"), F.dayofmonth("ts").cast("string").alias("requisition_id"),
+        )
+    )
+    return dedup.assign(rows.where("ordinal >= 500"), rows.where("ordinal < 500").withColumn("canonical_job_id", F.col("new_id")))
+
+
+@rows_only
+def t1_t2_run_fold(s: Source) -> DataFrame:
+    state, portals = s.spark.createDataFrame([], lifecycle.STATE), s.spark.createDataFrame([], lifecycle.PORTALS)
+    jobs = s.events.where("ts < timestamp'2024-01-02'").select(F.col("user_id").alias("portal_id"), F.lit("s").alias("source"), F.col("event_type").alias("source_job_id"), F.sha2("props", 256).alias("payload_sha256"), F.col("event_id").alias("ordinal"), F.col("ts").cast("timestamp").alias("at"))
+    results = jobs.groupBy("portal_id").agg(F.lit("SUCCESS").alias("status"), F.lit(True).alias("complete"), F.count("*").cast("int").alias("jobs"), F.max("at").alias("finished_at"))
+    return lifecycle.process_run(state, portals, results, jobs).sources
