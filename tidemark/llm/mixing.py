@@ -12,13 +12,16 @@ from .shared import materialize
 
 #: Domains of the labelled table: 2 * quality + toxic.
 DOMAINS = {0: "low", 1: "low_toxic", 2: "good", 3: "good_toxic"}
-BINS, STEPS, STAT_BINS = 8192, 24, 64
+BINS, STEPS, STAT_BINS = 1 << 20, 24, 64
 #: Labelled rows that the classifier is fitted on: those with the least hashes of their ids.
 TRAIN_ROWS = 20_000
 #: Rows' worth of the rate over all domains in each domain's counts.
 SHRINK = 20.0
-#: Weight of the mean log odds of a text's words beside that of its statistics.
-WORD_WEIGHT = 40.0
+#: Words that tell: their count in a domain lies so many standard deviations off what all domains would give, with at
+#: least so many rows seen or expected; at most so many words, those farthest off first.
+DEVIATIONS, LEAST_ROWS, MOST_WORDS = 4.0, 5, 4096
+#: Statistics of a text.
+STATS = 7
 UPPER, DIGITS, SIGNS, CALLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#$%&*|=~^<>{}[]_", "!?"
 
 
@@ -46,51 +49,55 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.withColumn("words", words).withColumn("bins", bins).select("doc_id", F.size("bins").cast("long").alias("tokens"), "bins", numbered.alias("stats"), *rest)
 
 
-def log_table(values: np.ndarray) -> Column:
+def log_table(values) -> Column:
     """A constant array column."""
     return F.from_json(F.lit(json.dumps([round(float(x), 6) for x in values])), "array<double>")
 
 
-def summed(features: str, table: Column) -> Column:
-    """Sum of the table's values at the feature numbers."""
-    return F.aggregate(features, F.lit(0.0), lambda a, b: a + F.element_at(table, b + 1))
+def summed(features: str, table: Column, shift: int) -> Column:
+    """Sum of the table's values at the features' numbers, ``shift`` added."""
+    return F.aggregate(features, F.lit(0.0), lambda a, b: a + F.element_at(table, b + shift))
 
 
 def posteriors(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[int]]:
     """(doc_id, tokens, p array<double>): domain probabilities by naive Bayes over words and statistics.
 
     ``docs`` has doc_id and text; ``labels`` has doc_id, quality and toxic.  At most TRAIN_ROWS labelled rows are
-    broadcast to the scan and fitted on; every document is scored.  The tables of counts have at most
-    (BINS + 7 * STAT_BINS) rows for each domain.  A domain without rows is absent.
+    broadcast to the scan and fitted on; every document is scored.  At most MOST_WORDS telling words and
+    STATS * STAT_BINS counts of statistics for each domain come to the driver.  A domain without rows is absent.
     """
     marks = labels.where("quality in (0, 1) and toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (2 * F.col("quality") + F.col("toxic")).cast("int").alias("domain"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(TRAIN_ROWS)
-    known = described(docs.join(F.broadcast(marks), "doc_id")).withColumn("bins", F.array_distinct("bins"))
-    features = F.concat("bins", F.transform("stats", lambda s: s + F.lit(BINS)), F.array(F.lit(-1)))
-    counts = known.select("domain", F.explode(features).alias("f")).groupBy("domain", "f").agg(F.count("*").alias("n")).collect()
-    domains = sorted({r["domain"] for r in counts})
-    docs = described(docs)
+    known = described(docs.join(F.broadcast(marks), "doc_id"))
+    rows = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    docs, domains = described(docs), sorted(rows)
     if not domains:
         return docs.select("doc_id", "tokens", F.array(F.lit(1.0)).alias("p")), [2]
-    table = np.zeros((len(domains), BINS + 7 * STAT_BINS))
-    rows = np.zeros(len(domains))
-    for r in counts:
-        if r["f"] < 0:
-            rows[domains.index(r["domain"])] = r["n"]
-        else:
-            table[domains.index(r["domain"]), r["f"]] = r["n"]
+    total = sum(rows.values())
+    counts = known.select("domain", F.explode(F.array_distinct("bins")).alias("f")).groupBy("f").agg(*[F.count_if(F.col("domain") == d).alias(f"c{d}") for d in domains])
+    base = (sum((F.col(f"c{d}") for d in domains), F.lit(0.5))) / (total + 1)
+    off = [F.abs(F.col(f"c{d}") - rows[d] * base) / F.sqrt(rows[d] * base * (1 - base)) * (F.greatest(F.col(f"c{d}"), rows[d] * base) >= LEAST_ROWS).cast("int") for d in domains]
+    telling = counts.withColumns({"base": base, "off": F.array(*off)}).where(F.array_max("off") >= DEVIATIONS).orderBy(F.desc(F.array_max("off")), "f").limit(MOST_WORDS).collect()
+    seen = known.select("domain", F.explode("stats").alias("f")).groupBy("domain", "f").agg(F.count("*").alias("n")).collect()
+    table = np.zeros((len(domains), STATS * STAT_BINS))
+    for r in seen:
+        table[domains.index(r["domain"]), r["f"]] = r["n"]
     # Shrunk towards the rate over all domains, so that what a small domain has not shown yet tells nothing.
-    base = (table.sum(axis=0) + 0.5) / (rows.sum() + 1)
-    logs = np.log((table + SHRINK * base) / (rows[:, None] + SHRINK)) - np.log(base)
-    prior = np.log(rows / rows.sum())
+    per = np.array([rows[d] for d in domains], float)
+    common = (table.sum(axis=0) + 0.5) / (total + 1)
+    logs = np.log((table + SHRINK * common) / (per[:, None] + SHRINK)) - np.log(common)
+    keys = [r["f"] for r in telling]
+    hits = F.filter(F.array_distinct("bins"), lambda b: b.isin(keys)) if keys else F.array().cast("array<int>")
+    docs = docs.withColumn("hits", hits)
     scores = []
-    for i in range(len(domains)):
-        of_words = summed("bins", log_table(logs[i, :BINS])) / F.greatest(F.size("bins"), F.lit(1))
-        scores.append(F.lit(float(prior[i])) + WORD_WEIGHT * of_words + summed("stats", log_table(logs[i, BINS:])))
+    for i, d in enumerate(domains):
+        words = [float(np.log((r[f"c{d}"] + SHRINK * r["base"]) / (rows[d] + SHRINK)) - np.log(r["base"])) if r["off"][i] >= DEVIATIONS else 0.0 for r in telling]
+        of_words = summed("hits", F.map_from_arrays(F.from_json(F.lit(json.dumps(keys)), "array<int>"), log_table(words)), 0)
+        scores.append(F.lit(float(np.log(rows[d] / total))) + of_words + summed("stats", log_table(logs[i]), 1))
     scored = docs.select("doc_id", "tokens", F.array(*scores).alias("s"))
     powers = F.transform("s", lambda x: F.exp(x - F.array_max("s")))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return scored.withColumn("e", powers).select("doc_id", "tokens", F.transform("e", lambda x: x / total).alias("p")), domains
+    whole = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    return scored.withColumn("e", powers).select("doc_id", "tokens", F.transform("e", lambda x: x / whole).alias("p")), domains
 
 
 def fit_rates(soft: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = 1e-6, p: Column | None = None) -> Column:
