@@ -205,6 +205,17 @@ def test_added_spans_and_redaction(spark):
     assert got[1]["n_chars"] == len(got[1]["text"]) and got[2]["text"] is None and got[2]["n_chars"] == 7
 
 
+def test_accounts_reach_their_end():
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    cases = [("token: ", "a1" * 120), ("Token=", jwt), ("IBAN: ", "DE89 3704 0044 0532 0130 00"), ("my iban is ", "GB29 NWBK 6016 1331 9268 19"), ("IBAN ", "DE89370400440532013000"), ("User ID: ", "abc12345"), ("Customer ID = ", "C-998877"), ("aCCount: ", "a.b.c.12")]
+    for before, value in cases:
+        for after in ("", ". Then more", " and more", "\nnext", '" x'):
+            text = f"İ {before}{value}{after}"
+            assert pii.redacted(text, [x for x in pii.spans(text) if x[2] == 5]) == f"İ {before}[ACCOUNT]{after}", text
+    for clean in ("IBAN DE88 3704 0044 0532 0130 00", "iban is DE89 3704", "a token is DE89", "token: ab1....", "iban DE8937040044053201300\u212a"):
+        assert [x for x in pii.spans(clean) if x[2] == 5] == []
+
+
 def test_pii_query_columns(odd, empty):
     rows = pii.find_pii(odd).collect()
     assert len(rows) == len(ODD)

@@ -24,8 +24,19 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"(?:[A-Za-z0-9._%+~-]+@)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]{1,5})?(?:[/?#][^\s<>\"'`{}|\\^]*)?")
 HANDLE = re.compile(r"@[A-Za-z][A-Za-z0-9_]{2,29}(?![A-Za-z0-9_@.-]*@)(?![A-Za-z0-9_])")
-#: After a cue: a sign, perhaps quotes, and a value; what it may hold is checked apart.
-VALUE = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|id|code|#))?[ \t]*[:=#][ \t]*[\"']?([A-Za-z0-9][A-Za-z0-9_+/=-]{5,127})", re.IGNORECASE)
+#: After a cue: a sign, perhaps quotes, and a value with dots only inside; what it may hold is checked apart.
+VALUE = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|id|code|#))?[ \t]*[:=#][ \t]*[\"']?([A-Za-z0-9][A-Za-z0-9_+/=-]*(?:\.[A-Za-z0-9_+/=-]+)*)", re.IGNORECASE)
+#: After a cue: perhaps a word, a sign and quotes, and what may be an IBAN, whole or printed in groups.
+IBAN = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|code|is|#))?[ \t]*[:=#]?[ \t]*[\"'(]?([A-Za-z]{2}[0-9]{2}(?:[ \u00a0\u202f-]?[A-Za-z0-9]){11,30})", re.IGNORECASE | re.ASCII)
+#: Characters of an IBAN by country; others may have 15 to 34.
+IBAN_SIZES = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 "
+        "HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 "
+        "RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 
 
 @lru_cache(maxsize=1)
@@ -38,12 +49,16 @@ def automaton():
         found.add_word(digit, ("digit", 1))
     for kind, words in (("scheme", SCHEMES), ("cue", CUES)):
         for word in words:
-            for form in {word, word.upper(), word.capitalize()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(word, (kind, len(word)))
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """The text with A-Z small; other letters stay, so that places do not move."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -52,15 +67,27 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_end(text: str, start: int, end: int) -> int:
+    """Where the IBAN at ``start`` ends, at most at ``end``; 0 if none has its country's length and a valid checksum."""
+    at = [i for i in range(start, end) if text[i].isalnum()]
+    code = "".join(text[i] for i in at).upper()
+    size = IBAN_SIZES.get(code[:2])
+    for n in (size,) if size else range(len(at), 14, -1):
+        if n <= len(at) and not text[at[n - 1] + 1 : at[n - 1] + 2].isalnum() and int("".join(str(int(c, 36)) for c in code[4:n] + code[:4])) % 97 == 1:
+            return at[n - 1] + 1
+    return 0
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of all personal data of a text, by start and then kind.
 
     Each kind's expansion begins where its last one ended, whether or not that one was valid, so base kinds
-    are the leftmost non-overlapping matches of their patterns without those that fail their check.
+    are the leftmost non-overlapping matches of their patterns without those that fail their check.  An account's
+    value goes on to its end, however long; one that is no valid IBAN still counts by the rule of other values.
     """
     out = []
     email_end = ip_end = card_end = phone_end = url_end = account_end = 0
-    for last, (kind, size) in automaton().iter(text):
+    for last, (kind, size) in automaton().iter(lowered(text)):
         at = last - size + 1
         if kind == "digit":
             if at >= ip_end:
@@ -100,9 +127,11 @@ def spans(text: str) -> list[tuple[int, int, int]]:
             if at >= url_end and (run := URL.match(text, last + 1)):
                 url_end = last + 1 + len(run.group().rstrip(".,;:!?)]"))
                 out.append((at, url_end, 4))
-        elif at >= account_end and (not at or not text[at - 1].isalnum()) and (run := VALUE.match(text, last + 1)):
-            value = run.group(1)
-            if any(c.isdigit() for c in value):
+        elif at >= account_end and (not at or not text[at - 1].isalnum()):
+            if (run := IBAN.match(text, last + 1)) and (end := iban_end(text, *run.span(1))):
+                account_end = end
+                out.append((run.start(1), end, 5))
+            elif (run := VALUE.match(text, last + 1)) and len(run.group(1)) >= 6 and any(c.isdigit() for c in run.group(1)):
                 account_end = run.end(1)
                 out.append((run.start(1), account_end, 5))
     return sorted(out, key=lambda x: (x[0], x[2], x[1]))
