@@ -161,6 +161,16 @@ def test_repeated_passages_of_odd_rows(odd, empty):
     assert substring_dedup.remove_repeated(empty).collect() == []
 
 
+def test_repeated_rows_keep_a_copy_and_their_own_places(spark):
+    words = [f"w{i}" for i in range(40)]
+    whole, moved = " ".join(words), " ".join(["x", "y", *words[:25], "z"])
+    rows = [(8, whole), (8, whole), (9, whole), (11, moved), (12, "other " + " ".join(f"v{i}" for i in range(30))), (12, " ".join(f"v{i}" for i in range(30)) + " end"), (12, "short")]
+    for parts in (1, 4):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeated(frame, width=20).collect())
+        assert found == [(8, 40, 0, whole), (8, 40, 0, whole), (9, 40, 40, ""), (11, 28, 25, "x y z"), (12, 1, 0, "short"), (12, 31, 0, rows[5][1]), (12, 31, 30, "other")]
+
+
 PATTERNS = (
     re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),

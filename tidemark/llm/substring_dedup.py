@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
 from .vectors import in_runs
 from .words import BASE_WORD, arrow_bytes, mix64, run_hashes, slices, words
 
@@ -43,12 +44,31 @@ def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return one, (two >> np.uint64(48)).astype(np.uint16), text, start.astype(np.int32)
 
 
+def earliest(one: np.ndarray, two: np.ndarray, ids: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted entries without repetitions, and which of them start no later than any other of their hash.
+
+    Rows that share an id may start at the same place; neither of them is earlier.
+    """
+    order = np.lexsort((*([rows] if rows.any() else []), starts, ids, two, one))
+    one, two, ids, rows, starts = one[order], two[order], ids[order], rows[order], starts[order]
+    head = np.ones(len(one), bool)
+    head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    again = np.zeros(len(one), bool)
+    again[1:] = ~head[1:] & (ids[1:] == ids[:-1]) & (starts[1:] == starts[:-1]) & (rows[1:] == rows[:-1])
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    least = (ids == ids[first]) & (starts == starts[first])
+    if again.any():
+        one, two, ids, rows, starts, least = (x[~again] for x in (one, two, ids, rows, starts, least))
+    return one, two, ids, rows, starts, least
+
+
 def local_windows(width: int, buckets: int, groups: int):
     """Windows of many documents at once.
 
-    Of equal windows only the earliest one here goes on, so that a passage of any number of documents
-    sends one entry from each task; the others certainly start later than some window and are removed.
-    Kind 0: a bucket's entries (hashes, document, start), packed.  Kind 1: removed windows of a group.
+    Of equal windows only the earliest place here goes on, so that a passage of any number of documents
+    sends one entry from each task (one for each text that its id has there); the others certainly start
+    later than some window and are removed.
+    Kind 0: a bucket's entries (hashes, document, row key, start), packed.  Kind 1: removed windows of a group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,31 +78,27 @@ def local_windows(width: int, buckets: int, groups: int):
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size
             size = 0
-            one, two, ids, starts = (np.concatenate([x[i] for x in held]) for i in range(4))
+            *entries, least = earliest(*(np.concatenate([x[i] for x in held]) for i in range(5)))
             held.clear()
-            order = np.lexsort((starts, ids, two, one))
-            one, two, ids, starts = one[order], two[order], ids[order], starts[order]
-            head = np.ones(len(one), bool)
-            head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-            yield from removed(ids[~head], starts[~head], groups)
-            one, two, ids, starts = one[head], two[head], ids[head], starts[head]
+            yield from removed(*(x[~least] for x in entries[2:]), groups)
+            one, two, ids, texts, starts = (x[least] for x in entries)
             bucket = (one % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((starts, ids, bucket))  # by place, which makes the places small once compressed
-            bucket, one, two, ids, starts = bucket[order], one[order], two[order], ids[order], starts[order]
+            order = np.lexsort((starts, texts, ids, bucket))  # by place, which makes the places small once compressed
+            bucket, one, two, ids, texts, starts = (x[order] for x in (bucket, one, two, ids, texts, starts))
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(cuts))
             for part in np.array_split(some, max(1, len(some) // 64)):
-                yield rows(0, part, [packed(one[cuts[i] : cuts[i + 1]], two[cuts[i] : cuts[i + 1]], ids[cuts[i] : cuts[i + 1]], starts[cuts[i] : cuts[i + 1]]) for i in part])
+                yield rows(0, part, [packed(*(x[cuts[i] : cuts[i + 1]] for x in (one, two, ids, texts, starts))) for i in part])
 
         for batch in batches:
             data, offsets = arrow_bytes(batch.column(1))
-            ids = batch.column(0).to_numpy()
+            ids, texts = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for a, b in slices(offsets, SCAN):
                 hashes, _, _, first = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], False)
                 if len(hashes) < width:
                     continue
                 one, two, text, start = windows(hashes, first, width)
-                held.append((one, two, ids[a:b][text], start))
+                held.append((one, two, ids[a:b][text], texts[a:b][text], start))
                 size += offsets[b] - offsets[a]
                 if size >= LOCAL_BYTES:
                     yield from flush()
@@ -96,9 +112,9 @@ def rows(kind: int, keys, blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(blobs), kind, np.int32)), "key": pa.array(np.asarray(keys, np.int64)), "body": pa.array(blobs, pa.binary())})
 
 
-def packed(one: np.ndarray, two: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> bytes:
+def packed(one: np.ndarray, two: np.ndarray, ids: np.ndarray, texts: np.ndarray, starts: np.ndarray) -> bytes:
     """Entries of one bucket in order of place: 10 bytes of hash each, and compressed steps of ids and starts."""
-    head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    head = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])]))
     steps = starts.copy()
     steps[1:] -= starts[:-1]
     steps[head] = starts[head]
@@ -108,11 +124,11 @@ def packed(one: np.ndarray, two: np.ndarray, ids: np.ndarray, starts: np.ndarray
     first = ids[head].astype(np.int64)
     first[1:] -= ids[head][:-1]
     lead = np.array([len(one), len(head), int(wide.sum())], np.int64)
-    place = b"".join(x.tobytes() for x in (short, steps[wide].astype(np.int32), first, counts))
+    place = b"".join(x.tobytes() for x in (short, steps[wide].astype(np.int32), first, texts[head].astype(np.int64), counts))
     return b"".join([lead.tobytes(), one.tobytes(), two.tobytes(), np.int64(len(place)).tobytes(), pa.compress(place, "zstd", asbytes=True)])
 
 
-def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(body: bytes) -> tuple[np.ndarray, ...]:
     n, runs, wide = np.frombuffer(body, np.int64, 3)
     at = 24
 
@@ -124,53 +140,49 @@ def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
     one, two, size = take(np.uint64, n), take(np.uint16, n), take(np.int64, 1)[0]
     body, at = pa.decompress(body[at:], int(size), "zstd", asbytes=True), 0
-    short, far, ids, counts = take(np.uint8, n), take(np.int32, wide), np.cumsum(take(np.int64, runs)), take(np.int32, runs)
+    short, far, ids, texts, counts = take(np.uint8, n), take(np.int32, wide), np.cumsum(take(np.int64, runs)), take(np.int64, runs), take(np.int32, runs)
     steps = short.astype(np.int64)
     steps[short == 255] = far
     total = np.cumsum(steps)
     head = np.cumsum(counts) - counts
     base = np.concatenate([[0], total])[head]
-    return one, two, np.repeat(ids, counts), (total - np.repeat(base, counts)).astype(np.int32)
+    return one, two, np.repeat(ids, counts), np.repeat(texts, counts), (total - np.repeat(base, counts)).astype(np.int32)
 
 
-def removed(ids: np.ndarray, starts: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
+def removed(ids: np.ndarray, texts: np.ndarray, starts: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
     """Removed windows (kind 1), packed for the group of their documents."""
     if not len(ids):
         return
     group = (mix64(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
-    order = np.lexsort((starts, ids, group))
-    group, ids, starts = group[order], ids[order], starts[order]
+    order = np.lexsort((starts, texts, ids, group))
+    group, ids, texts, starts = group[order], ids[order], texts[order], starts[order]
     cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(ids)]])
     for a in range(0, len(cuts) - 1, 256):
         part = cuts[a : a + 257]
-        yield rows(1, group[part[:-1]], [steps(ids[x:y], starts[x:y]) for x, y in zip(part[:-1], part[1:], strict=True)])
+        yield rows(1, group[part[:-1]], [steps(ids[x:y], texts[x:y], starts[x:y]) for x, y in zip(part[:-1], part[1:], strict=True)])
 
 
-def steps(ids: np.ndarray, starts: np.ndarray) -> bytes:
-    raw = np.diff(ids, prepend=0).astype(np.int64).tobytes() + np.diff(starts, prepend=0).astype(np.int32).tobytes()
+def steps(ids: np.ndarray, texts: np.ndarray, starts: np.ndarray) -> bytes:
+    raw = b"".join(np.diff(x, prepend=0).astype(kind).tobytes() for x, kind in ((ids, np.int64), (texts, np.int64), (starts, np.int32)))
     return np.int64(len(ids)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
-def from_steps(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+def from_steps(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int(np.frombuffer(body, np.int64, 1)[0])
-    raw = pa.decompress(body[8:], 12 * n, "zstd", asbytes=True)
-    return np.cumsum(np.frombuffer(raw, np.int64, n)), np.cumsum(np.frombuffer(raw, np.int32, n, 8 * n), dtype=np.int32)
+    raw = pa.decompress(body[8:], 20 * n, "zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(raw, np.int64, n)), np.cumsum(np.frombuffer(raw, np.int64, n, 8 * n)), np.cumsum(np.frombuffer(raw, np.int32, n, 16 * n), dtype=np.int32)
 
 
 def bucket_removals(groups: int):
-    """Rows sorted by bucket: every entry but the earliest of its hash is removed."""
+    """Rows sorted by bucket: every entry that starts later than the earliest of its hash is removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, gathered = None, [], []
 
         def close() -> None:
-            one, two, ids, starts = (np.concatenate(x) for x in zip(*map(unpacked, held), strict=True))
+            _, _, ids, texts, starts, least = earliest(*(np.concatenate(x) for x in zip(*map(unpacked, held), strict=True)))
             held.clear()
-            order = np.lexsort((starts, ids, two, one))
-            one, two, ids, starts = one[order], two[order], ids[order], starts[order]
-            again = np.zeros(len(one), bool)
-            again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-            gathered.append((ids[again], starts[again]))
+            gathered.append((ids[~least], texts[~least], starts[~least]))
 
         def flush() -> Iterator[pa.RecordBatch]:
             if gathered:
@@ -186,7 +198,7 @@ def bucket_removals(groups: int):
                         close()
                     now = key
                     held.append(body.as_py())
-                if sum(len(x) for x, _ in gathered) >= GATHERED:
+                if sum(len(x) for x, *_ in gathered) >= GATHERED:
                     yield from flush()
         if held:
             close()
@@ -196,15 +208,15 @@ def bucket_removals(groups: int):
 
 
 def intervals(width: int):
-    """Rows sorted by group: the maximal intervals of each document of a group, one row for each document."""
+    """Rows sorted by group: the maximal intervals of each text of a group, one row for each text."""
 
     def take(_: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [from_steps(x.as_py()) for b in batches for x in b.column(1)]
-        ids, starts = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((starts, ids))
-        ids, starts = ids[order], starts[order]
-        cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
-        yield pa.RecordBatch.from_pydict({"id": pa.array(ids[cuts[:-1]]), "spans": pa.array([merged(starts[x:y], width).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        ids, texts, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((starts, texts, ids))
+        ids, texts, starts = ids[order], texts[order], starts[order]
+        cuts = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])) + 1, [len(ids)]])
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids[cuts[:-1]]), "row": pa.array(texts[cuts[:-1]]), "spans": pa.array([merged(starts[x:y], width).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
     return in_runs(take)
 
@@ -246,20 +258,29 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged on the input.  Returns one row per input row: ``doc_id, n_words, n_removed, kept_text,
     kept_sha256`` (kept words joined by one space; words are runs without space and 0x09-0x0D).
 
+    Rows with the same id and text start at the same places, so none makes another lose anything.  Different
+    texts under one id are told apart by a row key, a 64-bit hash of the text that only such ids carry: each row
+    gets only its own intervals, and where both hold a window, the one at the larger place is later.
+
     Windows are told apart by 80 bits of two polynomial hashes.  One shuffle deals packed hashes to buckets
     sized by the input, a second one brings the intervals to their documents.
 
-    A null text has no words.  Rows with a null id lose nothing and make no other row lose anything.  Rows that
-    share an id are read as one document with several texts: their windows are pooled, so the intervals of
-    either apply to both; ids are meant to be unique.  Other columns are ignored.  An empty table stays empty.
+    A null text has no words.  Rows with a null id lose nothing and make no other row lose anything.  Other
+    columns are ignored.  An empty table stays empty.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    one = F.xxhash64("text")
+    several = materialize(docs.where("id is not null").groupBy("id").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("id", F.lit(True).alias("several")), "several")
+    row = F.lit(0).cast("long")
+    if not several.isEmpty():
+        docs, row = docs.join(several, "id", "left"), F.when(F.col("several"), one).otherwise(row)
+    docs = docs.select("id", "text", row.alias("row"))
     buckets = max(16, chars // 6 // BUCKET_WINDOWS)
     parts = min(buckets, 20_000)
     groups = max(64, parts)
     entries = docs.where("id is not null").mapInArrow(local_windows(width, buckets, groups), "kind int, key long, body binary")
     dealt = entries.repartition(parts, "kind", "key").sortWithinPartitions("kind", "key")
     gone = dealt.mapInArrow(bucket_removals(groups), "kind int, key long, body binary").select("key", "body")
-    spans = gone.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(intervals(width), "id long, spans binary")
-    return docs.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(cut_out, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    spans = gone.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(intervals(width), "id long, row long, spans binary")
+    return docs.join(spans, ["id", "row"], "left").select("id", "text", "spans").mapInArrow(cut_out, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
