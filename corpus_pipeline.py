@@ -34,8 +34,8 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay by their rates, at most once each."""
-    out = mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS).where("copies = 0").select("doc_id").distinct()
+    """Documents stay by their rates, which are at most 1, so that a document is written once at most and shares hold."""
+    out = mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS, most=1.0).where("copies = 0").select("doc_id").distinct()
     return docs.join(out, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -133,6 +133,26 @@ def test_rates_meet_targets_at_the_bound(spark):
     assert np.abs((t * got) @ p - targets).max() < 1e-5 * t.sum()
 
 
+def test_mixing_stage_writes_the_wanted_shares(spark, monkeypatch):
+    import corpus_pipeline as c
+
+    root = DATA.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    monkeypatch.setattr(c, "WEIGHTS", {"good": 0.5, "good_toxic": 0.5})
+    rows = {r["doc_id"]: r for r in mixing.mix(docs, labels, c.WEIGHTS).collect()}
+    assert max(r["rate"] for r in rows.values()) > 1.2
+    stays = [rows[r["doc_id"]] for r in c.mixed(spark, docs, root).select("doc_id").collect()]
+    assert len({r["doc_id"] for r in stays}) == len(stays)
+    totals = np.array([sum(r["tokens"] * r[f"p_{n}"] for r in stays) for n in c.WEIGHTS])
+    assert np.abs(totals / totals.sum() - 0.5).max() < 0.02
+    bounded = mixing.mix(docs, labels, c.WEIGHTS, most=1.0).collect()
+    assert max(r["rate"] for r in bounded) <= 1 and {r["copies"] for r in bounded} <= {0, 1}
+    totals = np.array([sum(r["tokens"] * r["rate"] * r[f"p_{n}"] for r in bounded) for n in c.WEIGHTS])
+    assert np.abs(totals / totals.sum() - 0.5).max() < 1e-3
+    top = max(r["rate"] for r in rows.values())
+    assert totals.sum() >= sum(r["tokens"] * r["rate"] * (r["p_good"] + r["p_good_toxic"]) for r in rows.values()) / top
+
+
 def test_mixing_of_odd_rows(spark):
     rows = [(1, None, 1), (2, "", 2), (None, "some words here", 3), (4, "word " * 9, 4), (4, "word " * 9, 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, tokens int")

@@ -13,6 +13,10 @@ from .shared import materialize
 #: Domains of the labelled table: 2 * quality + toxic.
 DOMAINS = {0: "low", 1: "low_toxic", 2: "good", 3: "good_toxic"}
 BINS, STEPS, STAT_BINS = 1 << 20, 24, 64
+#: A fit whose step has been halved below this has come as near as it can.
+LEAST_STEP = 1 / 64
+#: Of bounded rates: how often the interval of the budget is halved, and what share of it a total may miss.
+HALVINGS, MISSED = 5, 1e-4
 #: Labelled rows that the classifier is fitted on: those with the least hashes of their ids.
 TRAIN_ROWS = 20_000
 #: Rows' worth of the rate over all domains in each domain's counts.
@@ -101,19 +105,26 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[int]
 
 
 def fit_rates(soft: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = 1e-6, p: Column | None = None) -> Column:
-    """The rate column that makes the domains' expected token totals meet ``targets``, by projected gradient.
+    """The rate column of ``fitted`` without an upper bound."""
+    return fitted(soft, targets, steps, tolerance, p)[0]
 
-    Minimises the least-squares residual of the totals over rates >= 0.  They start at the posterior mean of
+
+def fitted(soft: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = 1e-6, p: Column | None = None, most: float | None = None) -> tuple[Column, float]:
+    """The rate column that makes the domains' expected token totals meet ``targets``, by projected gradient,
+    and the largest share of all targets by which a total misses its own.
+
+    Minimises the least-squares residual of the totals over rates >= 0 and at most ``most``.  They start at the posterior mean of
     each domain's target over its total.  The gradient is taken in the metric that weighs each document by its tokens and preconditioned by the Gram matrix of the
-    documents whose rate is positive; a step that makes the residual worse is halved.  A step is one aggregation
+    documents whose rate is between the bounds; a step that makes the residual worse is halved.  A step is one aggregation
     that brings a few sums for each domain to the driver; the rate is an expression of the steps' sums, over the
     column p or ``p``.
     """
     d = len(targets)
+    top = lambda rate: rate if most is None else F.least(F.lit(float(most)), rate)
     p = [F.element_at("p" if p is None else p, i + 1) for i in range(d)]
 
     def sums(rate: Column) -> tuple[np.ndarray, np.ndarray]:
-        live = F.when(rate > 0, F.col("tokens")).otherwise(0)
+        live = F.when((rate > 0) if most is None else (rate > 0) & (rate < most), F.col("tokens")).otherwise(0)
         row = soft.agg(*[F.sum(F.col("tokens") * rate * x) for x in p], *[F.sum(live * p[i] * p[j]) for i in range(d) for j in range(d)]).first()
         row = np.array([x or 0.0 for x in row], float)
         return row[:d] - targets, row[d:].reshape(d, d)
@@ -121,28 +132,49 @@ def fit_rates(soft: DataFrame, targets: np.ndarray, steps: int = STEPS, toleranc
     rate = F.lit(1.0)
     gap, gram = sums(rate)
     ratios = np.where(gap + targets > 0, targets / np.maximum(gap + targets, 1e-9), 0)
-    rate = sum((float(m) * x for m, x in zip(ratios, p, strict=True)), F.lit(0.0))
+    rate = top(sum((float(m) * x for m, x in zip(ratios, p, strict=True)), F.lit(0.0)))
     gap, gram = sums(rate)
     size = 1.0
     for _ in range(steps):
-        if np.abs(gap).max() <= tolerance * max(targets.sum(), 1):
+        if np.abs(gap).max() <= tolerance * max(targets.sum(), 1) or size < LEAST_STEP:
             break
         move = size * (np.linalg.pinv(gram, rcond=1e-9) @ gap)
-        new = F.greatest(F.lit(0.0), rate - sum((float(m) * x for m, x in zip(move, p, strict=True)), F.lit(0.0)))
+        new = top(F.greatest(F.lit(0.0), rate - sum((float(m) * x for m, x in zip(move, p, strict=True)), F.lit(0.0))))
         new_gap, new_gram = sums(new)
         if np.linalg.norm(new_gap) < np.linalg.norm(gap):
             rate, gap, gram, size = new, new_gap, new_gram, 1.0
         else:
             size /= 2
+    return rate, float(np.abs(gap).max() / max(targets.sum(), 1))
+
+
+def bounded_rates(soft: DataFrame, wanted: np.ndarray, budget: float, rate: Column, p: Column, most: float) -> Column:
+    """Rates of at most ``most`` that meet the shares ``wanted`` with as much of ``budget`` as that bound allows.
+
+    ``rate`` meets them with the whole budget but has no bound; scaled down to the bound it still does, with less.
+    HALVINGS of the way from there to the budget find more.
+    """
+    top = soft.agg(F.max(rate)).first()[0] or 0.0
+    if top <= most:
+        return rate
+    low, high, rate = budget * most / top, budget, rate * F.lit(float(most / top))
+    for _ in range(HALVINGS):
+        middle = (low + high) / 2
+        more, missed = fitted(soft, wanted * middle, p=p, most=most)
+        if missed <= MISSED:
+            low, rate = middle, more
+        else:
+            high = middle
     return rate
 
 
-def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", most: float | None = None) -> DataFrame:
     """Rates for every document so that the domains' expected shares of the tokens meet ``weights``.
 
     Returns doc_id, tokens (words), p_low, p_low_toxic, p_good, p_good_toxic, rate and copies; copies is the rate
     rounded up or down by a hash of the id, so that it has the rate as its mean.  ``budget`` is the wanted total;
-    None takes the largest one that needs no domain more than once.  Domains without rows or without a positive
+    None takes the largest one that needs no domain more than once.  Since memberships are soft, single rates may
+    still exceed 1; ``most`` bounds them and lowers the budget until the shares are met under the bound.  Domains without rows or without a positive
     weight have no target: their documents follow what they share with the others.
 
     A null text has no tokens and the rate 1 less what its prior gives; null ids round by one common hash;
@@ -160,6 +192,8 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float], budget: flo
     if budget is None:
         budget = float((have / wanted).min())
     rate = fit_rates(soft, wanted * budget, p=kept) if have.all() else F.lit(1.0)
+    if most is not None and have.all():
+        rate = bounded_rates(soft, wanted, budget, rate, kept, most)
     columns = [(F.element_at("p", domains.index(i) + 1) if i in domains else F.lit(0.0)).alias(f"p_{name}") for i, name in DOMAINS.items()]
     rated = soft.select("doc_id", "tokens", *columns, rate.alias("rate"))
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 30)) / F.lit(float(1 << 30))
