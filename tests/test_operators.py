@@ -126,6 +126,36 @@ def test_closure_needs_repetition(spark):
         lifecycle.close_missing(state, portals, None, None, misses=1)
 
 
+def test_all_days_fold_in_order(spark):
+    import datetime as dt
+    import hashlib
+    import random
+    import types
+
+    from tidemark.plans import driver_queries
+
+    rng = random.Random(7)
+    events = [(i, rng.randrange(1, 5), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i * 60), rng.choice("abcdef"), f"p{rng.randrange(3)}") for i in range(240)]
+    frame = spark.createDataFrame(events, "event_id long, user_id long, ts timestamp, event_type string, props string")
+    want, reopened = {}, 0
+    for day in sorted({e[2].date() for e in events}):
+        run = [e for e in events if e[2].date() == day]
+        for key in sorted({(e[1], e[3]) for e in run}):
+            one = next(e for e in run if (e[1], e[3]) == key)
+            old, payload = want.get(key), hashlib.sha256(one[4].encode()).hexdigest()
+            reopened += bool(old) and not old["is_active"]
+            want[key] = {"payload_sha256": payload, "first_seen_at": old["first_seen_at"] if old else one[2], "last_seen_at": one[2], "is_active": True, "missing": 0, "closed_at": None, "ai_status": "PENDING_AI"}
+        for portal in {e[1] for e in run}:
+            for key, row in want.items():
+                if key[0] == portal and row["is_active"] and key[1] not in {e[3] for e in run if e[1] == portal}:
+                    row["missing"] += 1
+                    if row["missing"] >= 2:
+                        row |= {"is_active": False, "closed_at": max(e[2] for e in run if e[1] == portal)}
+    got = {(r["portal_id"], r["source_job_id"]): r for r in driver_queries.t1_t2_run_fold(types.SimpleNamespace(spark=spark, events=frame)).collect()}
+    assert {k: {c: r[c] for c in want[k]} for k, r in got.items()} == want
+    assert reopened and any(not r["is_active"] for r in want.values()) and all(r["source"] == f"s{k[0]}" for k, r in got.items())
+
+
 def test_unchanged_rows_keep_their_verdict(spark):
     import datetime as dt
 
