@@ -94,6 +94,13 @@ def test_hnsw_recall_and_scores(spark, monkeypatch):
         assert all(abs(s - float(by[q] @ by[j])) < 1e-9 and j != q for j, s in answers)
 
 
+def test_components_too_large_are_an_error(spark):
+    fine = spark.createDataFrame([(1, [65536.0, -65536.0, 0.3])], "id long, v array<double>")
+    assert topk_search.quantized(fine).first()["v"] == [2.0**24, -(2.0**24), 76.0]
+    with pytest.raises(Exception, match="lies beyond"):
+        topk_search.quantized(spark.createDataFrame([(1, [70_000.0, 1.0])], "id long, v array<double>")).collect()
+
+
 def test_hnsw_of_odd_rows(spark):
     rows = odd_rows()
     vectors = valid_vectors(frame(spark, rows), "vec_id", "embedding").where("exists(v, x -> x <> 0)")

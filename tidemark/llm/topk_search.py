@@ -19,14 +19,15 @@ from .vectors import PACK, best, column_of, in_runs, matrix
 
 #: Bounds of the index: pivots, annuli of a pivot, vectors aimed at for a block, and vectors scored at a time.
 PIVOTS, RINGS, BLOCK, STEP = 128, 8, 2048, 256
-#: Components beyond this size are held at it, so that products fit a long.
+#: Components beyond this size raise an error, so that products fit a long.
 LARGEST = 1 << 24
 SALTS = 1 << 32
 
 
 def quantized(vectors: DataFrame, factor: int = 256) -> DataFrame:
-    """Each component x becomes floor(factor * x)."""
-    whole = F.transform("v", lambda x: F.floor(F.least(F.greatest(x * factor, F.lit(-float(LARGEST))), F.lit(float(LARGEST)))).cast("double"))
+    """Each component x becomes floor(factor * x); one beyond LARGEST is an error."""
+    wide = F.raise_error(F.lit(f"a component times {factor} lies beyond {LARGEST}: its products would not fit")).cast("double")
+    whole = F.transform("v", lambda x: F.when(F.abs(x * factor) <= LARGEST, F.floor(x * factor).cast("double")).otherwise(wide))
     return vectors.select("id", whole.alias("v"))
 
 
