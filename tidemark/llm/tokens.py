@@ -1,7 +1,8 @@
 """Encoding of whole texts with a public tokenizer, piece by piece.
 
-Both supported pre-tokenizers never join a non-space character with white space that follows it,
-so a text's ids are those of its pieces in a row.  Each worker keeps the ids of pieces it has met.
+Both supported pre-tokenizers cut inside white space only at known places, so a text's ids are those of its
+pieces in a row.  A piece is a word with the white space before it; the words of a piece are what the
+tokenizer's model sees.  Each worker keeps the ids of some pieces and words it has met.
 """
 
 from __future__ import annotations
@@ -9,14 +10,54 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: Pieces that a worker keeps in each of two generations, and pieces encoded as one text.
-KEPT_PIECES, BUNDLE = 1_000_000, 4096
+#: Pieces, and words of pieces, that a worker keeps in each of two generations; longer ones are not kept.
+KEPT, KEPT_CHARS = 400_000, 40
 SPACED = re.compile(r"\s*\S+|\s+$")
+#: White space other than spaces and line ends.
+OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: str.split() and \s take these for white space, the tokenizers do not.
-OWN_SPACE = "\x1c\x1d\x1e\x1f"
+OWN_SPACE = re.compile("[\x1c-\x1f]")
+BEYOND_LATIN = re.compile("[^\x00-\xff]")
+#: Before a text's first piece, which has no space before it.
+FIRST = "\x1c"
+#: \p{L} and \p{N} of the characters below U+0100.
+LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+CUT_OFF = "'s|'t|'re|'ve|'m|'ll|'d"
+BYTE_WORDS = re.compile(rf"{CUT_OFF}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+PLAIN_WORDS = re.compile(rf"{CUT_OFF}|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level models use for each byte: itself if printable, else the next one from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 0x100 + rest.index(b) for b in rest}
+
+
+BYTE_LETTERS = byte_letters()
+SPACE = chr(BYTE_LETTERS[ord(" ")])
+
+
+class Kept(dict):
+    """Ids by piece: at most two generations of KEPT entries, the older of which goes when the newer is full."""
+
+    def __init__(self, find):
+        self.find, self.older = find, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.find(piece)
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class Encoder:
@@ -27,80 +68,65 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize, self.normalizer, self.pre_tokenizer = self.tokenizer.model.tokenize, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         before = told.get("pre_tokenizer") or {}
         kinds = [x["type"] for x in before.get("pretokenizers", [before])] if before else []
+        changes = told.get("normalizer") or {}
+        changes = [x["type"] for x in changes.get("normalizers", [changes])] if changes else []
         self.cut = None
-        if told.get("truncation") is None and told.get("padding") is None and told.get("post_processor") is None:
-            if kinds == ["ByteLevel"] and told.get("normalizer") is None and before["use_regex"] and not before["add_prefix_space"]:
-                self.cut = SPACED.findall
-            elif kinds == ["Split", "ByteLevel"] and before["pretokenizers"][0]["behavior"] == "Removed" and "[^\\s\\p{L}\\p{N}]" in before["pretokenizers"][0]["pattern"]["Regex"]:
-                self.cut = str.split
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _bundled(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of distinct pieces.  Many make one text, which costs far less than a call for each; a token
-        belongs to the piece that its first character lies in."""
-        gap = " " if self.cut is str.split else ""
-        joins = pieces if gap else [p for p in pieces if p[0].isspace() and not p.isspace()]
-        alone = [] if gap else [p for p in pieces if not (p[0].isspace() and not p.isspace())]
-        out = dict(zip(alone, self._plain(alone), strict=True))
-        for at in range(0, len(joins), BUNDLE):
-            part = joins[at : at + BUNDLE]
-            found = self.tokenizer.encode(gap.join(part), add_special_tokens=False)
-            ends = np.cumsum([len(p) + len(gap) for p in part])
-            first = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-            cuts = np.searchsorted(np.searchsorted(ends, first, "right"), np.arange(len(part) + 1)) * self.dtype.itemsize
-            raw = np.array(found.ids, self.dtype).tobytes()
-            out.update((p, raw[a:b]) for p, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        return out
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > KEPT_PIECES:
-            self.known, self.older = {}, self.known
-        new = []
-        for p in dict.fromkeys(pieces):
-            if p not in self.known:
-                if p in self.older:
-                    self.known[p] = self.older[p]
-                else:
-                    new.append(p)
-        self.known.update(self._bundled(new))
+        if told.get("truncation") is None and told.get("padding") is None and told.get("post_processor") is None and told["model"]["type"] == "BPE":
+            if kinds == ["ByteLevel"] and not changes and before["use_regex"] and not before["add_prefix_space"]:
+                self.cut, self.split = self._cut_spaced, BYTE_WORDS.findall
+            elif kinds == ["Split", "ByteLevel"] and changes == ["NFC", "Replace", "Lowercase"] and before["pretokenizers"][0]["behavior"] == "Removed" and "[^\\s\\p{L}\\p{N}]" in before["pretokenizers"][0]["pattern"]["Regex"]:
+                self.cut, self.split = str.split, lambda piece: PLAIN_WORDS.findall(piece.lower())
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in told.get("added_tokens", [])) or r"(?!)")
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
+        self.pieces, self.words = Kept(self._piece), Kept(self._word)
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    @staticmethod
+    def _cut_spaced(text: str) -> list[str]:
+        """Pieces as keys: a word stands for itself after a space, one that begins with a line end for itself alone."""
+        if "  " in text or " \n" in text or "\n\n\n" in text or "\n\n " in text or text[-1:] in " \n" or OTHER_SPACE.search(text):
+            return [x[1:] if x[0] == " " and x[1:2].strip() else x if x[0] == "\n" and x[1:2].strip() else FIRST + x for x in SPACED.findall(text)]
+        found = text.replace("\n", " \n").split(" ")
+        found[0] = FIRST + found[0]
+        return found
+
+    def _word(self, word: str) -> bytes:
+        """Ids of what the model sees as one word."""
+        if word.isascii() and word.isprintable() and word[-1] != " ":  # as below, at less cost
+            seen = SPACE + word[1:] if word[0] == " " else word
+        else:
+            seen = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array(self.kind, [x.id for x in self.tokenize(seen)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        spaced = self.cut is not str.split
+        if piece.isascii() and piece.isalpha():
+            return self.words[" " + piece if spaced else piece.lower()]
+        if spaced:
+            piece = piece[1:] if piece[:1] == FIRST else piece if piece[:1] == "\n" else " " + piece
+        if not BEYOND_LATIN.search(piece):
+            words = self.words
+            return b"".join([words[w] for w in self.split(piece)])
+        if self.normalizer:
+            piece = self.normalizer.normalize_str(piece)
+        return b"".join([array(self.kind, [x.id for x in self.tokenize(w)]).tobytes() for w, _ in self.pre_tokenizer.pre_tokenize_str(piece)])
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        if self.cut is None or OWN_SPACE.search(text) or self.special.search(text):
+            return self._plain(text)
+        pieces = self.pieces
+        return b"".join([pieces[p] for p in self.cut(text)])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Texts together, so that their unknown pieces are bundled."""
-        out: list[bytes | None] = [None] * len(texts)
-        cut, unknown = {}, []
-        for i, text in enumerate(texts):
-            if self.cut is None or any(c in text for c in OWN_SPACE):
-                out[i] = self._plain([text])[0]
-                continue
-            pieces = self.cut(text)
-            try:
-                known = self.known
-                out[i] = b"".join([known[p] for p in pieces])
-            except KeyError:
-                cut[i] = pieces
-                unknown += [p for p in pieces if p not in known]
-        if unknown:
-            self._learn(unknown)
-        for i, pieces in cut.items():
-            try:
-                known = self.known
-                out[i] = b"".join([known[p] for p in pieces])
-            except KeyError:  # a generation ended in between
-                self._learn(pieces)
-                out[i] = b"".join([self.known[p] for p in pieces])
-        return out
+        return [self.encode(x) for x in texts]
 
     def ids_of(self, texts: list[str], end: int) -> list[np.ndarray]:
         """The ids of each text and then ``end``."""
@@ -118,6 +144,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drop what this worker keeps of other operators' tokenizers."""
+    _encoders.clear()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
