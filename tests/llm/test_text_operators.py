@@ -310,6 +310,28 @@ def test_packing_places_every_id_once(docs, odd, empty):
     assert packing.pack_documents(empty, path).collect() == []
 
 
+def test_bm25_scores_equal_the_formula(monkeypatch):
+    monkeypatch.setattr(packing, "FEW", 5)
+    rng = np.random.default_rng(7)
+    docs = [rng.zipf(1.4, rng.integers(5, 60)) % 300 for _ in range(80)]
+    index, n = packing.Bm25(docs), len(docs)
+    df = {t: sum(t in d for d in docs) for d in docs for t in d}
+    mean = np.mean([len(d) for d in docs])
+
+    def weight(t, d):
+        tf = int((d == t).sum())
+        return np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) if tf else 0.0
+
+    for seed in range(0, n, 9):
+        asks = sorted((t for t in set(docs[seed].tolist()) if df[t] <= max(packing.LEAST_COMMON, n * packing.COMMON)), key=lambda t: -weight(t, docs[seed]))[: packing.QUERY_TERMS]
+        want = np.array([sum(weight(t, d) for t in asks) for d in docs])
+        assert np.allclose(index.scores(seed), want)
+        used = rng.random(n) < 0.3
+        found = list(index.unused(seed, used))
+        assert sorted(found) == np.flatnonzero(~used).tolist()
+        assert all(want[a] >= want[b] - 1e-9 for a, b in zip(found[:-1], found[1:], strict=True))
+
+
 def test_packing_prefers_related_documents():
     topics = [np.arange(100 * t, 100 * t + 60) for t in range(4)]
     docs = [np.concatenate([topics[i % 4], [900 + i]]) for i in range(16)]

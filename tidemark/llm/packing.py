@@ -15,7 +15,11 @@ from .token_codes import encoded
 from .tokens import encoder
 
 #: Documents and ids of one shard's index.
-SHARD_DOCS, SHARD_TOKENS = 512, 4 << 20
+SHARD_DOCS, SHARD_TOKENS = 4096, 8 << 20
+#: Terms that ask for a seed: those that weigh most in it, of terms in at most such a share of the documents or so many of them.
+QUERY_TERMS, COMMON, LEAST_COMMON = 64, 1 / 8, 16
+#: Neighbours that are sorted before all others.
+FEW = 24
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 
@@ -24,32 +28,41 @@ class Bm25:
     """Inverted index over documents given as arrays of term ids."""
 
     def __init__(self, docs: list[np.ndarray]):
-        n = len(docs)
-        lengths = np.array([len(x) for x in docs], np.float64)
-        found = [np.unique(x, return_counts=True) for x in docs]
-        self.terms = [x for x, _ in found]
-        sizes = np.array([len(x) for x in self.terms])
-        term = np.concatenate(self.terms).astype(np.int64)
-        tf = np.concatenate([x for _, x in found]).astype(np.float64)
-        doc = np.repeat(np.arange(n), sizes)
-        order = np.argsort(term, kind="stable")
-        self.vocabulary, self.at = np.unique(term[order], return_index=True)
-        self.at = np.append(self.at, len(term))
+        self.n = n = len(docs)
+        lengths = np.array([len(x) for x in docs], np.int64)
+        # (term, document) as one number, sorted: the postings of each term in order of documents.
+        flat = np.concatenate(docs).astype(np.int64) * n
+        flat += np.repeat(np.arange(n), lengths)
+        flat.sort()
+        head = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        tf = np.diff(np.append(head, len(flat)))
+        flat = flat[head]
+        term, self.docs = np.divmod(flat, n)
+        self.at = np.append(np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64), len(term))
         df = np.diff(self.at)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
         damp = K1 * (1 - B + B * lengths / max(lengths.mean(), 1))
-        tf, self.docs = tf[order], doc[order]
-        self.weights = np.repeat(idf, df) * tf * (K1 + 1) / (tf + damp[self.docs])
-        self.n = n
-
-    def ranked(self, seed: int) -> np.ndarray:
-        """Documents by descending score for the seed's terms; ties by place."""
-        rows = np.searchsorted(self.vocabulary, self.terms[seed])
+        self.weights = np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)), df) * tf * (K1 + 1) / (tf + damp[self.docs])
+        # The same postings by document, as places; the heaviest terms of each come first.
+        row = np.repeat(np.arange(len(df)), df)
+        rare = np.flatnonzero(df[row] <= max(LEAST_COMMON, n * COMMON))
+        order = rare[np.lexsort((row[rare], -self.weights[rare], self.docs[rare]))]
+        self.asks, self.first = row[order], np.searchsorted(self.docs[order], np.arange(n + 1))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The score of every document for the seed's QUERY_TERMS heaviest terms."""
+        rows = self.asks[self.first[seed] : min(self.first[seed + 1], self.first[seed] + QUERY_TERMS)]
         first, count = self.at[rows], self.at[rows + 1] - self.at[rows]
-        total = int(count.sum())
-        take = np.arange(total) + np.repeat(first - (np.cumsum(count) - count), count)
-        scores = np.bincount(self.docs[take], self.weights[take], self.n)
-        return np.argsort(-scores, kind="stable")
+        take = np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+        return np.bincount(self.docs[take], self.weights[take], self.n)
+
+    def unused(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """Documents that ``used`` does not mark, by descending score; ties by place.  Few are sorted at first."""
+        scores = self.scores(seed)
+        scores[used] = -1
+        last = np.partition(scores, -FEW)[-FEW] if self.n > FEW else np.inf
+        for bound in (scores > last, (scores <= last) & ~used):
+            some = np.flatnonzero(bound)
+            yield from some[np.argsort(-scores[some], kind="stable")].tolist()
 
 
 def pack(docs: list[np.ndarray], length: int) -> list[list[tuple[int, int, int]]]:
@@ -73,16 +86,14 @@ def pack(docs: list[np.ndarray], length: int) -> list[list[tuple[int, int, int]]
         window = [(doc, at, left)] if left else []
         if left and not used.all():
             index = index or Bm25(docs)
-            for other in index.ranked(doc):
-                if used[other]:
-                    continue
+            for other in index.unused(doc, used):
                 used[other] = True
                 n = min(room, len(docs[other]))
-                window.append((int(other), 0, n))
+                window.append((other, 0, n))
                 room -= n
                 if not room:
                     if n < len(docs[other]):
-                        seed = (int(other), n)
+                        seed = (other, n)
                     break
         if window and not room:
             out.append(window)
