@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
-from .vectors import PACK, best, column_of, in_runs, matrix
+from .shared import materialize, tidy
+from .vectors import PACK, best, column_of, in_runs, matrix, own_tasks
 from .words import mix64
 
 #: Links of a node on upper layers (twice as many on the lowest), beam widths, nodes of a shard.
@@ -193,10 +193,14 @@ def searched(width: int, k: int, beam: int):
         for i, row in enumerate(nodes):
             row = row[row >= 0]
             scores = (graph.vectors[row] * q[i]).sum(axis=1)
-            order = np.argsort(-scores, kind="stable")[: k + 1]
+            order = np.argsort(-scores, kind="stable")
+            n, last = 0, np.inf
             for node, score in zip(row[order], scores[order], strict=True):
-                same = graph.ids[graph.at[node] : graph.at[node + 1]][: k + 1]
-                same = same[same != ids[i]]
+                if n >= k and score < last:
+                    break
+                same = graph.ids[graph.at[node] : graph.at[node + 1]]
+                same = same[same != ids[i]][:k]
+                n, last = n + len(same), score
                 out_q += [ids[i]] * len(same)
                 out_v += same.tolist()
                 out_s += [score] * len(same)
@@ -230,8 +234,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEA
 
     Every vector is in a graph.  A hash of the id deals vectors to shards of about SHARD, so copies of one
     vector spread; inside a shard they share a node that lists all their ids.  A graph's row precedes the
-    query packs in its task, and each graph is built once.  Rows with one id count once, with the best
-    score; vectors of unequal length are compared as if zeros followed.  Empty inputs give an empty result.
+    query packs in its task, and each graph is built once; each task cuts its answers to k a query.  Every row
+    is a candidate of its own, also where ids repeat (such an id may be answered more than once); of queries with one
+    id the least vector asks.  Vectors of unequal length are compared as if zeros followed.  Empty inputs give an empty result.
     """
     spark = vectors.sparkSession
     vectors = materialize(vectors, "vectors")
@@ -240,8 +245,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEA
         return best(spark.createDataFrame([], "query_id long, vec_id long, score double"), k)
     shards = -(-n // SHARD)
     parts = max(1, min(20_000, shards))
-    dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v").repartition(parts, "shard").sortWithinPartitions("shard")
-    index = materialize(dealt.mapInArrow(in_runs(as_graph(width)), INDEX), "graphs")
-    asked = queries.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(as_packs(width, shards), INDEX)
-    both = index.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
-    return best(both.mapInArrow(searched(width, k, beam), "query_id long, vec_id long, score double"), k)
+    own = own_tasks(spark, parts)
+    task = F.when(F.col("shard") < parts, own).otherwise(F.col("shard"))
+    dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v").repartition(parts, task).sortWithinPartitions("shard")
+    index = materialize(dealt.mapInArrow(tidy(in_runs(as_graph(width))), INDEX), "graphs")
+    asked = queries.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(tidy(as_packs(width, shards)), INDEX)
+    both = index.unionByName(asked).repartition(parts, task).sortWithinPartitions("shard", "kind")
+    return best(both.mapInArrow(tidy(searched(width, k, beam)), "query_id long, vec_id long, score double"), k)

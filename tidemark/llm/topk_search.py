@@ -14,21 +14,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, tidy
 from .vectors import PACK, best, column_of, in_runs, matrix
 
 #: Bounds of the index: pivots, annuli of a pivot, vectors aimed at for a block, and vectors scored at a time.
 PIVOTS, RINGS, BLOCK, STEP = 128, 8, 2048, 256
-#: Components beyond this size raise an error, so that products fit a long.
-LARGEST = 1 << 24
+#: Products are at most the largest squared norm, which must lie below this to fit a long; components then fit 32 bits.
+LARGEST = 1 << 62
+#: Distances are differences of squares in double precision: bounds allow for such a share of the squared norms.
+SLACK = 1e-6
+#: A score to beat that any score beats.
+LEAST = -(1 << 63)
 SALTS = 1 << 32
 
 
 def quantized(vectors: DataFrame, factor: int = 256) -> DataFrame:
-    """Each component x becomes floor(factor * x); one beyond LARGEST is an error."""
-    wide = F.raise_error(F.lit(f"a component times {factor} lies beyond {LARGEST}: its products would not fit")).cast("double")
-    whole = F.transform("v", lambda x: F.when(F.abs(x * factor) <= LARGEST, F.floor(x * factor).cast("double")).otherwise(wide))
-    return vectors.select("id", whole.alias("v"))
+    """Each component x becomes floor(factor * x), as double."""
+    return vectors.select("id", F.transform("v", lambda x: F.floor(x * factor).cast("double")).alias("v"))
 
 
 class Geometry:
@@ -107,8 +109,7 @@ def query_rows(geometry: Geometry, cells: Cells, probe: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = batch.column(0).to_numpy(), matrix(batch.column(1), geometry.pivots.shape[1])
-            beat = np.full(len(ids), -np.inf) if probe else batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-            beat[np.isnan(beat)] = -np.inf
+            beat = np.full(len(ids), LEAST, np.int64) if probe else batch.column(2).fill_null(LEAST).to_numpy()
             far, norms = geometry.distances(x, False), (x**2).sum(axis=1)
             body = x.astype(np.int32)
             if len(ids) and len(cells.key):
@@ -117,7 +118,7 @@ def query_rows(geometry: Geometry, cells: Cells, probe: bool):
                     goes = np.zeros(gaps.shape, bool)
                     goes[np.arange(len(ids)), gaps.argmin(axis=1)] = True
                 else:
-                    goes = (norms[:, None] + geometry.top - (gaps * (1 - 1e-9)) ** 2) / 2 + 1 >= beat[:, None]
+                    goes = highest(norms, geometry.top, gaps) >= beat[:, None]
                 out = []
                 for c in np.flatnonzero(goes.any(axis=0)):
                     who = np.flatnonzero(goes[:, c])
@@ -126,7 +127,7 @@ def query_rows(geometry: Geometry, cells: Cells, probe: bool):
                         mine = who[salts == salt] if probe else who
                         for at in range(0, len(mine), PACK):
                             w = mine[at : at + PACK]
-                            out.append((int(cells.key[c]) * SALTS + salt, 1, ids[w].tobytes(), body[w].tobytes(), np.stack([beat[w], far[w, cells.key[c] // RINGS]]).tobytes()))
+                            out.append((int(cells.key[c]) * SALTS + salt, 1, ids[w].tobytes(), body[w].tobytes(), beat[w].tobytes() + far[w, cells.key[c] // RINGS].tobytes()))
                 for at in range(0, len(out), 500):
                     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out[at : at + 500], strict=True), kinds, strict=True)], names=["key", "kind", "ids", "body", "extra"])
@@ -134,6 +135,11 @@ def query_rows(geometry: Geometry, cells: Cells, probe: bool):
     return run
 
 
+def highest(norms: np.ndarray, top: float, gaps: np.ndarray) -> np.ndarray:
+    """The highest product that a vector can have with a query of ``norms`` if their distance is at least a gap."""
+    return (norms[:, None] + top - gaps**2) / 2 + 1 + SLACK * (norms[:, None] + top)
+
+
 def scored(top: float, k: int):
     """Rows sorted by (key, kind): a block, then the packs that search it.
 
@@ -144,29 +150,30 @@ def scored(top: float, k: int):
     def search(block, pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, x, far = block
         qids, q, beat, d = pack
-        norms = (q**2).sum(axis=1)
+        none = np.asarray(-np.inf).astype(q.dtype) if q.dtype.kind == "f" else np.int64(LEAST)
+        norms = (q.astype(np.float64) ** 2).sum(axis=1)
         starts = np.arange(0, len(ids), STEP)
         low, high = far[starts], far[np.minimum(starts + STEP, len(ids)) - 1]
         gaps = np.maximum(np.maximum(low - d[:, None], d[:, None] - high), 0)
-        bound = (norms[:, None] + top - (gaps * (1 - 1e-9)) ** 2) / 2 + 1
+        bound = highest(norms, top, gaps)
         found_q, found_v, found_s = [], [], []
-        kept = np.full((len(q), k), -np.inf)
+        kept = np.full((len(q), k), none)
         for step in np.argsort(gaps.mean(axis=0), kind="stable"):
             who = np.flatnonzero(bound[:, step] >= beat)
             if not len(who):
                 continue
             a, b = starts[step], min(starts[step] + STEP, len(ids))
             scores = q[who] @ x[a:b].T
-            scores[qids[who][:, None] == ids[a:b]] = -np.inf
-            rows, columns = np.nonzero((scores >= beat[who][:, None]) & (scores > -np.inf))
+            scores[qids[who][:, None] == ids[a:b]] = none
+            rows, columns = np.nonzero((scores >= beat[who][:, None]) & (scores > none))
             found_q.append(who[rows]), found_v.append(ids[a:b][columns]), found_s.append(scores[rows, columns])
             merged = np.concatenate([kept[who], scores], axis=1)
-            kept[who] = -np.partition(-merged, k - 1, axis=1)[:, :k]
+            kept[who] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
             beat[who] = np.maximum(beat[who], kept[who].min(axis=1))
         if not found_q:
             return (np.zeros(0, np.int64),) * 3
         who, vec, score = np.concatenate(found_q), np.concatenate(found_v), np.concatenate(found_s)
-        order = np.lexsort((vec, -score, who))
+        order = np.lexsort((-vec, score, -who))[::-1]
         who, vec, score = who[order], vec[order], score[order]
         place = np.arange(len(who)) - np.searchsorted(who, who)
         keep = place < k
@@ -174,18 +181,18 @@ def scored(top: float, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, at = None, None
-        # Products and norms are at most ``top``: within 2**53 doubles hold them exactly.
-        kind = np.float64 if top < 1 << 53 else np.longdouble
+        # Products and norms are at most ``top``: within 2**53 doubles hold them exactly, beyond it integers do.
+        kind = np.float64 if top < 1 << 53 else np.int64
         for batch in batches:
             found = []
             for key, is_pack, ids, body, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(ids, np.int64)
                 x = np.frombuffer(body, np.int32).reshape(len(ids), -1).astype(kind)
-                extra = np.frombuffer(extra, np.float64)
                 if not is_pack:
-                    block, at = (ids, x, extra), key
+                    block, at = (ids, x, np.frombuffer(extra, np.float64)), key
                 elif key == at:
-                    found.append(search(block, (ids, x, extra[: len(ids)].copy(), extra[len(ids) :])))
+                    beat, far = np.frombuffer(extra, np.int64, len(ids)).astype(kind), np.frombuffer(extra, np.float64, len(ids), 8 * len(ids))
+                    found.append(search(block, (ids, x, beat, far)))
             if found:
                 q, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(q), "vec_id": pa.array(v), "score": pa.array(s)})
@@ -209,8 +216,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
        is ever a row.
 
     Only pivots and annuli's bounds (at most PIVOTS * RINGS rows) come to the driver.  Vectors of unequal
-    length are compared as if zeros followed; of rows with one id the best counts, as a query the least.
-    Empty inputs give an empty result.
+    length are compared as if zeros followed.  Every row is a candidate of its own, also where ids repeat (such an id may
+    be answered more than once); of queries with one id the least vector asks.  Components are integers; a squared norm of
+    LARGEST or more, with which products may not fit a long, is an error.  Empty inputs give an empty result.
     """
     spark = vectors.sparkSession
     vectors = materialize(vectors, "vectors")
@@ -218,10 +226,12 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     if not size[0]:
         return best(spark.createDataFrame([], RESULT), k)
     n, width, top = size
+    if top >= LARGEST:
+        raise ValueError(f"a squared norm of {top:.3g}: integer inner products may not fit a long")
     sample = vectors.select("id", "v", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(8 * PIVOTS).select("v").collect()
     padded = np.array([list(r[0]) + [0.0] * (width - len(r[0])) for r in sample])
     geometry = Geometry(spread_pivots(padded, min(PIVOTS, max(1, n // (RINGS * BLOCK // 4))), top), top)
-    keys = materialize(vectors.mapInArrow(keyed(geometry), "id long, pivot int, far double, body binary"), "keyed")
+    keys = materialize(vectors.mapInArrow(tidy(keyed(geometry)), "id long, pivot int, far double, body binary"), "keyed")
 
     inner = [i / RINGS for i in range(1, RINGS)]
     edges = F.broadcast(keys.groupBy("pivot").agg(F.percentile_approx("far", F.array(*map(F.lit, inner)), F.lit(10_000)).alias("edges")))  # at most PIVOTS rows
@@ -232,15 +242,15 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     placed = ringed.join(salts, "cell").select((F.col("cell") * SALTS + F.pmod(F.xxhash64("id"), "salts")).alias("key"), "far", "id", "body")
     parts = max(8, min(20_000, n // (4 * BLOCK)))
     kinds = "key long, kind int, ids binary, body binary, extra binary"
-    blocks = materialize(placed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(in_runs(as_block), kinds), "blocks")
+    blocks = materialize(placed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(in_runs(as_block)), kinds), "blocks")
 
     asked = materialize(queries.groupBy("id").agg(F.min("v").alias("v")), "queries")
 
     def found(packs: DataFrame) -> DataFrame:
         both = blocks.unionByName(packs).repartition(parts, "key").sortWithinPartitions("key", "kind")
-        return both.mapInArrow(scored(float(top), k), RESULT)
+        return both.mapInArrow(tidy(scored(float(top), k)), RESULT)
 
-    first = found(asked.select("id", "v").mapInArrow(query_rows(geometry, cells, True), kinds))
+    first = found(asked.select("id", "v").mapInArrow(tidy(query_rows(geometry, cells, True)), kinds))
     beat = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("beat"))
-    known = asked.join(beat, "id", "left").select("id", "v", F.col("beat").cast("double").alias("beat"))
-    return best(found(known.mapInArrow(query_rows(geometry, cells, False), kinds)), k)
+    known = asked.join(beat, "id", "left").select("id", "v", "beat")
+    return best(found(known.mapInArrow(tidy(query_rows(geometry, cells, False)), kinds)), k)

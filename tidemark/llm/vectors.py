@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -59,7 +60,13 @@ def column_of(batches: list[pa.RecordBatch], i: int):
 
 
 def best(df: DataFrame, k: int) -> DataFrame:
-    """The k best (query_id, vec_id, score) of each query, ties to the smaller vec_id; repeated ids count once."""
-    once = df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    """The k best (query_id, vec_id, score) rows of each query, ties to the smaller vec_id; cut in each task before the shuffle."""
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return df.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def own_tasks(spark: SparkSession, parts: int) -> Column:
+    """For a number column ``shard`` below ``parts``: a key that repartition(parts, key) deals to that partition."""
+    chosen = spark.range(40 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("part")).agg(F.min("id").alias("id"))
+    found = {r["part"]: r["id"] for r in chosen.collect()}  # at most ``parts`` rows
+    return F.get(F.from_json(F.lit(json.dumps([found.get(i, i) for i in range(parts)])), "array<long>"), F.col("shard").cast("int"))
