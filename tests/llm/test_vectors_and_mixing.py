@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import hnsw, mixing, topk_search
 from tidemark.llm.queries import WEIGHTS
-from tidemark.llm.vectors import valid_vectors
+from tidemark.llm.shared import leave_out, text_key
+from tidemark.llm.vectors import own_tasks, valid_vectors
 
 DATA = "/root/testdata/sf0.001"
 
@@ -94,11 +97,67 @@ def test_hnsw_recall_and_scores(spark, monkeypatch):
         assert all(abs(s - float(by[q] @ by[j])) < 1e-9 and j != q for j, s in answers)
 
 
-def test_components_too_large_are_an_error(spark):
-    fine = spark.createDataFrame([(1, [65536.0, -65536.0, 0.3])], "id long, v array<double>")
-    assert topk_search.quantized(fine).first()["v"] == [2.0**24, -(2.0**24), 76.0]
-    with pytest.raises(Exception, match="lies beyond"):
-        topk_search.quantized(spark.createDataFrame([(1, [70_000.0, 1.0])], "id long, v array<double>")).collect()
+def test_large_components_score_exactly(spark):
+    rows = [(0, [70000.5, 1.0]), (1, [80000.25, -3.0]), (2, [1e6, 2.0]), (50, [-1e6, 1.0 / 3]), (51, [1e6, 2.0078125]), (52, [70000.5, 1.0])]
+    vectors = topk_search.quantized(valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding"))
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    assert max(sum(x * x for x in v) for v in whole.values()) > 1 << 53
+    want = {}
+    for q in (0, 50):
+        found = sorted((-sum(x * y for x, y in zip(whole[q], w, strict=True)), j) for j, w in whole.items() if j != q)
+        want[q] = [(j, -s) for s, j in found[:5]]
+    assert ranked(topk_search.exact_top_k(vectors, vectors.where("id % 50 = 0"), 5)) == want
+    with pytest.raises(ValueError, match="may not fit"):
+        far = topk_search.quantized(spark.createDataFrame([(1, [1e9, 1.0])], "id long, v array<double>"))
+        topk_search.exact_top_k(far, far, 5)
+
+
+def repeated_rows():
+    """One id in six rows, another of a query, and few other candidates."""
+    v = clustered(4, 30, 8)
+    rows = [(7, v[i].tolist()) for i in range(6)] + [(100, v[6].tolist())] + [(100 + i, v[6 + i].tolist()) for i in range(1, 7)]
+    return rows + [(7, v[0].tolist())] * 3 + [(201, v[6].tolist())] * 2
+
+
+def every_row(rows, q, k, whole):
+    """Brute force with every row as a candidate; the query's vector is the least under its id."""
+    own = min(v for i, v in rows if i == q)
+    score = lambda v: float(np.dot(*(np.floor(256 * np.array(x, np.float32).astype(float)) if whole else np.array(x, np.float32).astype(float) for x in (own, v))))
+    return [(j, -s) for s, j in sorted((-score(v), j) for j, v in rows if j != q)[:k]]
+
+
+def test_repeated_ids_are_candidates_of_their_own(spark):
+    rows = repeated_rows()
+    vectors = valid_vectors(frame(spark, rows), "vec_id", "embedding")
+    whole = topk_search.quantized(vectors)
+    asked = whole.where("id in (7, 100)")
+    got = ranked(topk_search.exact_top_k(whole, asked, 5))
+    assert got[100] == every_row(rows, 100, 5, True) and len(got[7]) == 5 and all(j != 7 for j, _ in got[7])
+    near = ranked(hnsw.nearest(vectors, vectors.where("id in (7, 100)"), 20))
+    want = every_row(rows, 100, 20, False)
+    assert [j for j, _ in near[100]] == [j for j, _ in want] and np.allclose([s for _, s in near[100]], [s for _, s in want])
+    assert sorted(j for j, _ in near[7]) == sorted(j for j, _ in rows if j != 7)
+
+
+def test_shards_have_tasks_of_their_own(spark):
+    key = own_tasks(spark, 13)
+    parts = spark.range(13).withColumnRenamed("id", "shard").repartition(13, key).select("shard", F.spark_partition_id().alias("p")).collect()
+    assert {r["shard"]: r["p"] for r in parts} == {i: i for i in range(13)}
+
+
+def test_hnsw_recall_on_the_table(spark):
+    df = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/embeddings.parquet")
+    vectors = valid_vectors(df, "vec_id", "embedding").where("exists(v, x -> x <> 0)")
+    found = ranked(hnsw.nearest(vectors, vectors.where("id % 20 = 0"), 20))
+    rows = vectors.orderBy("id").collect()
+    ids, x = np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows])
+    hits = total = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[at]
+        score[at] = -np.inf
+        want = ids[np.lexsort((ids, -score))[:20]]
+        hits, total = hits + len(set(want.tolist()) & {j for j, _ in found[ids[at]]}), total + 20
+    assert len(found) == (ids % 20 == 0).sum() and hits >= 0.9 * total
 
 
 def test_hnsw_of_odd_rows(spark):
@@ -169,6 +228,62 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.mix(docs.where("false"), labels, WEIGHTS).collect() == []
 
 
+def test_posteriors_and_rates_equal_a_recomputation(spark):
+    """Naive Bayes and the rates by plain Python from the same hashes of words."""
+    texts = ["good calm prose of the sea", "BUY NOW!!! $$$ cheap cheap", "the sea is calm and good", "cheap pills $$$ NOW", "hate you all", "you hate the sea"]
+    rows = [(i, texts[i % 6] + f" word{i % 7}") for i in range(180)]
+    marks = [(i, int(i % 6 in (0, 2, 5)), int(i % 6 in (4, 5))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks + marks[:9] + [(3, 1, 1)], "doc_id long, quality int, toxic int")
+    described = {r["doc_id"]: r for r in mixing.described(mixing.plain(docs, "doc_id", "text")).collect()}
+    domain = {i: 2 * q + t for i, q, t in marks if i != 3}
+    kinds = sorted(set(domain.values()))
+    size = {d: sum(x == d for x in domain.values()) for d in kinds}
+    total = len(domain)
+
+    def logs(count: dict[int, int], base: float, weighs: bool) -> dict[int, float]:
+        return {d: math.log((count[d] + mixing.SHRINK * base) / (size[d] + mixing.SHRINK)) - math.log(base) if weighs else 0.0 for d in kinds}
+
+    tables = {"bins": {}, "stats": {}}
+    for what, table in tables.items():
+        for f in {f for r in described.values() for f in r[what]}:
+            count = {d: sum(f in described[i][what] for i, x in domain.items() if x == d) for d in kinds}
+            base = (sum(count.values()) + 0.5) / (total + 1)
+            table[f] = logs(count, base, True)
+            if what == "bins":
+                for d in kinds:
+                    off = abs(count[d] - size[d] * base) / math.sqrt(size[d] * base * (1 - base))
+                    if off < mixing.DEVIATIONS or max(count[d], size[d] * base) < mixing.LEAST_ROWS:
+                        table[f][d] = 0.0
+    weights = {"good": 0.5, "low": 0.5}
+    got = {r["doc_id"]: r for r in mixing.mix(docs, labels, weights).collect()}
+    for i, r in described.items():
+        score = np.array([math.log(size[d] / total) + sum(tables["bins"][f][d] for f in set(r["bins"])) + sum(tables["stats"][f][d] for f in r["stats"]) for d in kinds])
+        want = np.exp(score - score.max())
+        want /= want.sum()
+        assert np.allclose(want, [got[i][f"p_{mixing.DOMAINS[d]}"] for d in kinds], atol=1e-4)
+    tokens, rates = np.array([r["tokens"] for r in got.values()], float), np.array([r["rate"] for r in got.values()])
+    p = np.array([[r["p_good"], r["p_low"]] for r in got.values()])
+    reached = (tokens * rates) @ p
+    assert abs(reached[0] / reached.sum() - 0.5) < 1e-4 and (rates >= 0).all()
+    assert abs(reached.min() * 2 - 2 * ((tokens @ p).min())) < 1e-3 * tokens.sum()
+
+
+def test_pipeline_decides_row_by_row(spark):
+    """One id with two texts, repeated rows and null ids: each decision hits its own row."""
+    import corpus_pipeline as c
+
+    good, other, junk = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "zz"))
+    rows = [(1, good), (1, other), (2, good), (None, good), (None, junk), (3, junk), (3, junk), (4, other + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted((r["text"].split()[0], r["doc_id"]) for r in c.deduplicated(spark, docs, DATA).collect() for _ in (0,))
+    assert [x for x, _ in left] == ["alpha0", "beta0", "zz0"]
+    gone = spark.createDataFrame([(1, good), (None, junk)], "doc_id long, text string").select("doc_id", text_key().alias("text_key"))
+    rest = [tuple(r) for r in leave_out(docs, gone).collect()]
+    assert sorted(rest, key=str) == sorted([r for r in rows if r not in ((1, good), (None, junk))], key=str)
+    assert leave_out(docs.where("false"), gone).collect() == [] and c.deduplicated(spark, docs.where("false"), DATA).collect() == []
+
+
 def test_mixing_runs_no_python(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     plan = mixing.mix(docs, labels, WEIGHTS)._jdf.queryExecution().executedPlan().toString()

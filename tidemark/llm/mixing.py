@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, text_key
 
 #: Domains of the labelled table: 2 * quality + toxic.
 DOMAINS = {0: "low", 1: "low_toxic", 2: "good", 3: "good_toxic"}
@@ -22,8 +22,8 @@ TRAIN_ROWS = 20_000
 #: Rows' worth of the rate over all domains in each domain's counts.
 SHRINK = 20.0
 #: Words that tell: their count in a domain lies so many standard deviations off what all domains would give, with at
-#: least so many rows seen or expected; at most so many words, those farthest off first.
-DEVIATIONS, LEAST_ROWS, MOST_WORDS = 4.0, 5, 4096
+#: least so many rows seen or expected.
+DEVIATIONS, LEAST_ROWS = 4.0, 5
 #: Statistics of a text.
 STATS = 7
 UPPER, DIGITS, SIGNS, CALLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#$%&*|=~^<>{}[]_", "!?"
@@ -36,7 +36,7 @@ def share_bin(chars: str) -> Column:
 
 
 def plain(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_key(text_col).alias("text_key"))
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -53,35 +53,42 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.withColumn("words", words).withColumn("bins", bins).select("doc_id", F.size("bins").cast("long").alias("tokens"), "bins", numbered.alias("stats"), *rest)
 
 
-def log_table(values) -> Column:
+def constant(values: list, kind: str) -> Column:
     """A constant array column."""
-    return F.from_json(F.lit(json.dumps([round(float(x), 6) for x in values])), "array<double>")
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
-def summed(features: str, table: Column, shift: int) -> Column:
-    """Sum of the table's values at the features' numbers, ``shift`` added."""
-    return F.aggregate(features, F.lit(0.0), lambda a, b: a + F.element_at(table, b + shift))
+def summed(features: str, values: np.ndarray) -> Column:
+    """Sum of the values at the features' numbers."""
+    table = constant([round(float(x), 6) for x in values], "double")
+    return F.aggregate(features, F.lit(0.0), lambda a, b: a + F.get(table, b))
+
+
+def marked(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of at most TRAIN_ROWS labelled rows; repeated labels count once, conflicting ones not at all."""
+    known = labels.where("quality in (0, 1) and toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (2 * F.col("quality") + F.col("toxic")).cast("int").alias("domain"))
+    single = known.groupBy("doc_id").agg(F.min("domain").alias("domain"), F.max("domain").alias("other")).where("domain = other")
+    return single.select("doc_id", "domain").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
 
 
 def posteriors(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(doc_id, tokens, p array<double>): domain probabilities by naive Bayes over words and statistics.
+    """(doc_id, text_key, tokens, p array<double>): domain probabilities by naive Bayes over words and statistics.
 
-    ``docs`` has doc_id and text; ``labels`` has doc_id, quality and toxic.  At most TRAIN_ROWS labelled rows are
-    broadcast to the scan and fitted on; every document is scored.  At most MOST_WORDS telling words and
-    STATS * STAT_BINS counts of statistics for each domain come to the driver.  A domain without rows is absent.
+    ``docs`` has doc_id, text and text_key; ``labels`` has doc_id, quality and toxic.  At most TRAIN_ROWS labelled rows are
+    broadcast to the scan and fitted on, written first so that only their texts are described; every document is
+    scored.  At most BINS telling words and STATS * STAT_BINS counts of statistics for each domain come to the
+    driver; an array over all bins has each word's number.  A domain without rows is absent.
     """
-    marks = labels.where("quality in (0, 1) and toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (2 * F.col("quality") + F.col("toxic")).cast("int").alias("domain"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(TRAIN_ROWS)
-    known = described(docs.join(F.broadcast(marks), "doc_id"))
+    known = materialize(described(docs.join(F.broadcast(marked(labels)), "doc_id")), "labelled")
     rows = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     docs, domains = described(docs), sorted(rows)
     if not domains:
-        return docs.select("doc_id", "tokens", F.array(F.lit(1.0)).alias("p")), [2]
+        return docs.select("doc_id", "text_key", "tokens", F.array(F.lit(1.0)).alias("p")), [2]
     total = sum(rows.values())
     counts = known.select("domain", F.explode(F.array_distinct("bins")).alias("f")).groupBy("f").agg(*[F.count_if(F.col("domain") == d).alias(f"c{d}") for d in domains])
     base = (sum((F.col(f"c{d}") for d in domains), F.lit(0.5))) / (total + 1)
     off = [F.abs(F.col(f"c{d}") - rows[d] * base) / F.sqrt(rows[d] * base * (1 - base)) * (F.greatest(F.col(f"c{d}"), rows[d] * base) >= LEAST_ROWS).cast("int") for d in domains]
-    telling = counts.withColumns({"base": base, "off": F.array(*off)}).where(F.array_max("off") >= DEVIATIONS).orderBy(F.desc(F.array_max("off")), "f").limit(MOST_WORDS).collect()
+    telling = counts.withColumns({"base": base, "off": F.array(*off)}).where(F.array_max("off") >= DEVIATIONS).collect()
     seen = known.select("domain", F.explode("stats").alias("f")).groupBy("domain", "f").agg(F.count("*").alias("n")).collect()
     table = np.zeros((len(domains), STATS * STAT_BINS))
     for r in seen:
@@ -90,18 +97,21 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[int]
     per = np.array([rows[d] for d in domains], float)
     common = (table.sum(axis=0) + 0.5) / (total + 1)
     logs = np.log((table + SHRINK * common) / (per[:, None] + SHRINK)) - np.log(common)
-    keys = [r["f"] for r in telling]
-    hits = F.filter(F.array_distinct("bins"), lambda b: b.isin(keys)) if keys else F.array().cast("array<int>")
+    numbers = np.zeros(BINS, int)
+    words = np.zeros((len(domains), len(telling) + 1))  # number 0 tells nothing
+    for n, r in enumerate(sorted(telling, key=lambda r: r["f"]), 1):
+        numbers[r["f"]] = n
+        for i, d in enumerate(domains):
+            if r["off"][i] >= DEVIATIONS:
+                words[i, n] = np.log((r[f"c{d}"] + SHRINK * r["base"]) / (rows[d] + SHRINK)) - np.log(r["base"])
+    number = constant(numbers.tolist(), "int")
+    hits = F.array_distinct(F.transform("bins", lambda b: F.get(number, b))) if telling else F.array().cast("array<int>")
     docs = docs.withColumn("hits", hits)
-    scores = []
-    for i, d in enumerate(domains):
-        words = [float(np.log((r[f"c{d}"] + SHRINK * r["base"]) / (rows[d] + SHRINK)) - np.log(r["base"])) if r["off"][i] >= DEVIATIONS else 0.0 for r in telling]
-        of_words = summed("hits", F.map_from_arrays(F.from_json(F.lit(json.dumps(keys)), "array<int>"), log_table(words)), 0)
-        scores.append(F.lit(float(np.log(rows[d] / total))) + of_words + summed("stats", log_table(logs[i]), 1))
-    scored = docs.select("doc_id", "tokens", F.array(*scores).alias("s"))
+    scores = [F.lit(float(np.log(rows[d] / total))) + summed("hits", words[i]) + summed("stats", logs[i]) for i, d in enumerate(domains)]
+    scored = docs.select("doc_id", "text_key", "tokens", F.array(*scores).alias("s"))
     powers = F.transform("s", lambda x: F.exp(x - F.array_max("s")))
     whole = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return scored.withColumn("e", powers).select("doc_id", "tokens", F.transform("e", lambda x: x / whole).alias("p")), domains
+    return scored.withColumn("e", powers).select("doc_id", "text_key", "tokens", F.transform("e", lambda x: x / whole).alias("p")), domains
 
 
 def fit_rates(soft: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = 1e-6, p: Column | None = None) -> Column:
@@ -171,30 +181,34 @@ def bounded_rates(soft: DataFrame, wanted: np.ndarray, budget: float, rate: Colu
 def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", most: float | None = None) -> DataFrame:
     """Rates for every document so that the domains' expected shares of the tokens meet ``weights``.
 
-    Returns doc_id, tokens (words), p_low, p_low_toxic, p_good, p_good_toxic, rate and copies; copies is the rate
+    Returns doc_id, tokens (words), p_low, p_low_toxic, p_good, p_good_toxic, rate, text_key and copies; copies is the rate
     rounded up or down by a hash of the id, so that it has the rate as its mean.  ``budget`` is the wanted total;
     None takes the largest one that needs no domain more than once.  Since memberships are soft, single rates may
-    still exceed 1; ``most`` bounds them and lowers the budget until the shares are met under the bound.  Domains without rows or without a positive
-    weight have no target: their documents follow what they share with the others.
+    still exceed 1; ``most`` bounds them and lowers the budget until the shares are met under the bound.  Domains without rows, without tokens or without a positive
+    weight have no target: their documents follow what they share with the others, whose targets hold among themselves.
 
-    A null text has no tokens and the rate 1 less what its prior gives; null ids round by one common hash;
-    repeated rows are rated alike; other columns are ignored.  Without labels all belong to "good".  An empty
+    A null text has no tokens and is rated by what its prior gives; null ids round by one common hash;
+    repeated rows are rated alike; a label counts once however often it is repeated, and not at all if its document has
+    another one too; other columns are ignored.  Without labels all belong to "good".  An empty
     table gives an empty result.
     """
     soft, domains = posteriors(plain(df, id_col, text_col), labels)
     soft = materialize(soft, "posteriors")
     named = [i for i in domains if weights.get(DOMAINS[i], 0.0) > 0]
-    kept = F.array(*[F.element_at("p", domains.index(i) + 1) for i in named]) if named else F.array(F.lit(0.0))
-    wanted = np.array([weights[DOMAINS[i]] for i in named] or [1.0])
-    wanted = wanted / wanted.sum()
-    aimed = soft.select("tokens", kept.alias("p"))
-    have = np.array([x or 0.0 for x in aimed.agg(*[F.sum(F.col("tokens") * F.element_at("p", i + 1)) for i in range(len(wanted))]).first()], float)
-    if budget is None:
-        budget = float((have / wanted).min())
-    rate = fit_rates(soft, wanted * budget, p=kept) if have.all() else F.lit(1.0)
-    if most is not None and have.all():
-        rate = bounded_rates(soft, wanted, budget, rate, kept, most)
+    of = [F.element_at("p", domains.index(i) + 1) for i in named]
+    have = np.array([x or 0.0 for x in soft.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * p) for p in of]).first()][1:], float)
+    some = np.flatnonzero(have > 0)
+    rate = F.lit(1.0)
+    if len(some):
+        kept, have = F.array(*[of[i] for i in some]), have[some]
+        wanted = np.array([weights[DOMAINS[named[i]]] for i in some])
+        wanted = wanted / wanted.sum()
+        if budget is None:
+            budget = float((have / wanted).min())
+        rate = fit_rates(soft, wanted * budget, p=kept)
+        if most is not None:
+            rate = bounded_rates(soft, wanted, budget, rate, kept, most)
     columns = [(F.element_at("p", domains.index(i) + 1) if i in domains else F.lit(0.0)).alias(f"p_{name}") for i, name in DOMAINS.items()]
-    rated = soft.select("doc_id", "tokens", *columns, rate.alias("rate"))
+    rated = soft.select("doc_id", "tokens", *columns, rate.alias("rate"), "text_key")
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rated.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))

@@ -8,11 +8,11 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import discard, materialize
+from .shared import discard, materialize, tidy
 from .vectors import column_of, in_runs
 from .words import BASE_WORD, arrow_bytes, mix64, slices, words
 
@@ -257,7 +257,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(id, shingles) of the classes in ``wanted`` (id, k1, k2)."""
     few = wanted.count() <= BROADCAST_ROWS  # 24 bytes a row; beyond, the texts are shuffled
     texts = docs.join(F.broadcast(wanted) if few else wanted.hint("merge"), "id").select("id", "text", "k1", "k2")
-    return materialize(texts.mapInArrow(sets(k), "id long, shingles binary"), "shingles")
+    return materialize(texts.mapInArrow(tidy(sets(k)), "id long, shingles binary"), "shingles")
 
 
 def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -268,7 +268,7 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num:
     full = shingles_of(docs, wanted, k)
     x, y = (full.select(F.col("id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "x"), ("b", "y")))
     with arrow_rows(docs, 200):
-        links = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified(num, den), "a long, b long").distinct(), "links")
+        links = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(verified(num, den)), "a long, b long").distinct(), "links")
     discard(pairs, wanted, full)
     return links
 
@@ -288,25 +288,32 @@ def arrow_rows(df: DataFrame, rows: int):
 def between_components(docs: DataFrame, classes: DataFrame, families: DataFrame, components: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Confirmed links between the components of a family (documents that share buckets, directly or not).
 
-    A family with several components is cut into blocks of BLOCK documents in order of their components, and
-    each block meets those after it, except where both lie in one and the same component.  All sets of two
+    A family with several components is cut into blocks of about BLOCK documents: hashes deal the documents of a large
+    component, and the small components whole, so no task sees a family.  Each block meets those after it, except where
+    both lie in one and the same component.  All sets of two
     blocks are compared at once, in a task that holds two blocks; only links between components come out.
     """
     of = families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(components.withColumnRenamed("node", "id"), "id", "left").select("id", "family", F.coalesce("component", "id").alias("component"))
-    mixed = of.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("family")
-    place = F.row_number().over(W.partitionBy("family").orderBy("component", "id")) - 1
-    members = materialize(of.join(mixed, "family").withColumn("block", F.floor(place / BLOCK).cast("long")).withColumn("key", F.xxhash64("family", "block")), "members")
+    of = materialize(of, "of-family")
+    sizes = materialize(of.groupBy("family", "component").agg(F.count("*").alias("n")), "component-sizes")
+    rest = F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("rest")
+    mixed = materialize(sizes.groupBy("family").agg(F.count("*").alias("components"), rest).where("components > 1").select("family", "rest"), "mixed")
+    large = F.xxhash64("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+    block = F.when(F.col("n") >= BLOCK, large).otherwise(F.pmod(F.xxhash64("component"), F.greatest(F.lit(1), F.ceil(F.col("rest") / BLOCK))))
+    placed = of.join(mixed, "family").join(sizes, ["family", "component"]).select("id", "family", "component", block.alias("block"))
+    members = materialize(placed.withColumn("key", F.xxhash64("family", "block")), "members")
+    discard(of, sizes, mixed)
     full = shingles_of(docs, materialize(classes.join(members.select("id"), "id").select("id", "k1", "k2"), "candidates"), k)
     bounds = members.groupBy("family", "block", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     other = bounds.select("family", F.col("block").alias("block2"), F.col("key").alias("key2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     meets = materialize(bounds.join(other, "family").where("block <= block2 and not (low = high and low2 = high2 and low = low2)").select("key", "key2"), "meetings")
     with arrow_rows(docs, 16):
         rows = members.select("id", "key", "component").join(full, "id").select("key", "id", "component", "shingles")
-        blocks = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(in_runs(as_block), "key long, body binary"), "blocks")
+        blocks = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(in_runs(as_block)), "key long, body binary"), "blocks")
         first = blocks.join(meets.select("key").distinct(), "key", "left_semi").select("key", F.lit(0).alias("kind"), "body")
         second = meets.join(blocks.withColumnRenamed("key", "key2"), "key2").select("key", F.lit(1).alias("kind"), "body")
         both = first.unionByName(second).repartition("key").sortWithinPartitions("key", "kind")
-        links = materialize(both.mapInArrow(linked(num, den), "a long, b long").distinct(), "links")
+        links = materialize(both.mapInArrow(tidy(linked(num, den)), "a long, b long").distinct(), "links")
     discard(members, full, meets, blocks)
     return links
 
@@ -325,20 +332,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
        is connected already, so that no candidate pair between components is lost.
 
     A null text, or one without words, has an empty set and is linked with nothing.  A null id takes no part
-    in links: its component_id is null and the row is kept.  Repeated rows are each returned; equal texts
-    under one id share everything, other texts under that id are judged by themselves.  Other columns are
+    in links: its component_id is null and the row is kept.  Repeated rows are each returned, and texts under
+    one id are one node: their links are those of all of them (``one_of_each`` tells them apart).  Other columns are
     ignored whatever their names.  An empty table gives an empty result.
     """
     num, den = similarity
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = materialize(docs.mapInArrow(sketch(shingle), "id long, n long, k1 long, k2 long, bands binary"), "sketches")
+    rows = materialize(docs.mapInArrow(tidy(sketch(shingle)), "id long, n long, k1 long, k2 long, bands binary"), "sketches")
     known = rows.where("n > 0 and id is not null")
     classes = materialize(known.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
     bands, kinds = classes.select("id", "n", "bands"), "key long, a long, b long"
-    local = materialize(bands.mapInArrow(buckets(num, den, False), kinds), "stars")
+    local = materialize(bands.mapInArrow(tidy(buckets(num, den, False)), kinds), "stars")
     bucket = W.partitionBy("key")
-    heads = bands.mapInArrow(buckets(num, den, True), kinds).select("a", F.col("b").alias("n"), F.min(F.struct("a", "b")).over(bucket).alias("least")).where("a != least.a")
+    heads = bands.mapInArrow(tidy(buckets(num, den, True)), kinds).select("a", F.col("b").alias("n"), F.min(F.struct("a", "b")).over(bucket).alias("least")).where("a != least.a")
     wide = heads.select((F.least("n", "least.b") * den >= F.greatest("n", "least.b") * num).cast("long").alias("key"), "a", F.col("least.a").alias("b"))
     stars = materialize(local.unionByName(wide).distinct(), "all-stars")
     discard(local)
@@ -354,3 +361,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return linked.unionByName(wordless).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")
     )
+
+
+def one_of_each(df: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """``df`` (doc_id, text and any others) with one row of each group of near duplicates: that with the smallest id.
+
+    Rows whose id is null or repeated are documents of their own: each goes by a hash of its id and text instead of
+    its id, of rows that agree in both one stays, and which row of a group with such rows stays is not told by ids.
+    Rows without words stay.
+    """
+    several = materialize(df.groupBy(F.col("doc_id").cast("long").alias("several")).agg(F.count("*").alias("n")).where("n > 1 or several is null").select("several"), "several")
+    if several.isEmpty():
+        gone = near_duplicates(df, shingle=shingle, similarity=similarity).where("not kept").select("doc_id")
+        return df.join(gone, "doc_id", "left_anti").select(df.columns)
+    node = next(f"node{i}" for i in range(len(df.columns) + 1) if f"node{i}" not in df.columns)
+    of = several.withColumn(node, F.lit(True))
+    marked = df.join(of, F.col("doc_id").cast("long").eqNullSafe(F.col("several")), "left").select(*df.columns, node)
+    alike = marked.where(F.col(node)).dropDuplicates(["doc_id", "text"])
+    marked = marked.where(F.col(node).isNull()).unionByName(alike)
+    own = F.when(F.col(node), F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.coalesce(F.col("text").cast("string"), F.lit("")))).otherwise(F.col("doc_id").cast("long"))
+    marked = materialize(marked.withColumn(node, own), "marked")
+    gone = near_duplicates(marked, node, "text", shingle, similarity).where("not kept").select(F.col("doc_id").alias(node))
+    return marked.join(gone, node, "left_anti").select(df.columns)

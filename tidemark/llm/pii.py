@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 #: Kinds in the order in which spans at one place are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
@@ -180,7 +182,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counts = ", ".join(f"n_{kind} long" for kind in KINDS)
-    return docs.mapInArrow(detect, f"doc_id long, {counts}, base_sha256 string, spans string")
+    return docs.mapInArrow(tidy(detect), f"doc_id long, {counts}, base_sha256 string, spans string")
 
 
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -198,4 +200,4 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
 
     at = df.columns.index(text_col)
     long = df.columns.index(length_col) if length_col in df.columns else None
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

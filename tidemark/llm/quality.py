@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, text_key, tidy
 from .words import BASE_WORD, arrow_bytes, mix64, slices, words
 
 SCAN = 1 << 20
@@ -79,7 +79,7 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in slices(offsets, SCAN):
             stats = statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             values = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * len(FEATURES), pa.int32()), pa.array(stats.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), values], names=["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), values], names=["doc_id", "text_key", "stats"])
 
 
 def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,14 +116,15 @@ class Discriminant:
 
 
 def fit(stats: DataFrame, labels: DataFrame, pooled: float = 0.3, ridge: float = 0.05, heat: float = 3.0) -> Discriminant | None:
-    """Fit from all rows of ``stats`` (doc_id, stats) that ``labels`` (doc_id, label) marks 0 or 1.
+    """Fit from all rows of ``stats`` (doc_id, stats) that ``labels`` (doc_id, label) marks 0 or 1, and not both.
 
     Each covariance is (1 - pooled) of its class and pooled of both, then shrunk by ``ridge`` towards its mean
     variance.  Only the classes' moments, of a fixed size, come to the driver.  None without any labelled row.
     """
     d = len(FEATURES)
-    known = stats.join(labels.where("label in (0, 1)"), "doc_id").select("stats", F.col("label").cast("int").alias("label"))
-    sums = known.mapInArrow(moments, "label int, flat array<double>").selectExpr("label", "posexplode(flat) as (i, v)").groupBy("label", "i").agg(F.sum("v"))
+    single = labels.where("label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
+    known = stats.join(single, "doc_id").select("stats", F.col("label").cast("int").alias("label"))
+    sums = known.mapInArrow(tidy(moments), "label int, flat array<double>").selectExpr("label", "posexplode(flat) as (i, v)").groupBy("label", "i").agg(F.sum("v"))
     found = np.zeros((2, 1 + d + d * d))
     for label, i, v in sums.collect():
         found[label, i] = v
@@ -152,9 +153,9 @@ def fit(stats: DataFrame, labels: DataFrame, pooled: float = 0.3, ridge: float =
 def scorer(model: Discriminant | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten()).reshape(-1, len(FEATURES))
+            x = np.asarray(batch.column(2).flatten()).reshape(-1, len(FEATURES))
             score = model.score(x) if model and len(x) else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["doc_id", "text_key", "score"])
 
     return run
 
@@ -165,15 +166,15 @@ def held_out(column: str = "doc_id"):
 
 
 def classify(df: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score every whole text: doc_id, held_out, score in 0..1 (higher: label 1 likelier), predicted (score >= threshold).
+    """Score every whole text: doc_id, held_out, score in 0..1 (higher: label 1 likelier), predicted (score >= threshold), text_key.
 
     Trains on all rows of ``labels`` outside the held-out fold whose label is 0 or 1.  Only the text is an input
     of a score.  A null text is empty and is scored as such; a null id is never held out and never trains;
     repeated ids are scored row by row; other columns are ignored.  Without labelled rows every score is 0.5.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    stats = materialize(docs.mapInArrow(measure, "doc_id long, stats array<double>"), "statistics")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_key(text_col).alias("text_key"))
+    stats = materialize(docs.mapInArrow(tidy(measure), "doc_id long, text_key long, stats array<double>"), "statistics")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("label"))
     model = fit(stats, marks.where(~held_out()))
-    scored = stats.mapInArrow(scorer(model), "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = stats.mapInArrow(tidy(scorer(model)), "doc_id long, text_key long, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_key")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, tidy
 from .vectors import in_runs
 from .words import BASE_WORD, arrow_bytes, mix64, run_hashes, slices, words
 
@@ -279,8 +279,8 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = max(16, chars // 6 // BUCKET_WINDOWS)
     parts = min(buckets, 20_000)
     groups = max(64, parts)
-    entries = docs.where("id is not null").mapInArrow(local_windows(width, buckets, groups), "kind int, key long, body binary")
+    entries = docs.where("id is not null").mapInArrow(tidy(local_windows(width, buckets, groups)), "kind int, key long, body binary")
     dealt = entries.repartition(parts, "kind", "key").sortWithinPartitions("kind", "key")
-    gone = dealt.mapInArrow(bucket_removals(groups), "kind int, key long, body binary").select("key", "body")
-    spans = gone.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(intervals(width), "id long, row long, spans binary")
-    return docs.join(spans, ["id", "row"], "left").select("id", "text", "spans").mapInArrow(cut_out, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    gone = dealt.mapInArrow(tidy(bucket_removals(groups)), "kind int, key long, body binary").select("key", "body")
+    spans = gone.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(intervals(width)), "id long, row long, spans binary")
+    return docs.join(spans, ["id", "row"], "left").select("id", "text", "spans").mapInArrow(tidy(cut_out), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
