@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import mixing, near_dedup, packing, pii, quality
 from tidemark.llm.queries import table
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import leave_out, materialize
 from tidemark.llm.tokens import tokenizer_path
 
 #: Wanted shares of the tokens; no target for low quality, which the first stage rejects.  Memberships are soft: a
@@ -16,16 +16,13 @@ WEIGHTS = {"good": 0.85, "good_toxic": 0.15}
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; rows whose id is null are kept."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    bad = scored.where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Documents whose text the quality classifier rejects go, whatever their id."""
+    return leave_out(docs, quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest id."""
-    gone = near_dedup.near_duplicates(docs, shingle=5, similarity=(80, 100)).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each near-duplicate group stays, that with the smallest id; of repeated rows one."""
+    return near_dedup.one_of_each(docs, shingle=5, similarity=(80, 100))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +32,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay by their rates, which are at most 1, so that a document is written once at most and shares hold."""
-    out = mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS, most=1.0).where("copies = 0").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    return leave_out(docs, mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS, most=1.0).where("copies = 0"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
