@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import driver_queries
+from . import driver_queries, state_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(driver_queries.QUERIES)
+    return driver_queries.QUERIES | state_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(driver_queries.ORACLE)
+    return driver_queries.ORACLE | state_queries.ORACLE
