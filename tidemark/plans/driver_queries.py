@@ -98,7 +98,7 @@ def issue():
 select count(*) as portals, count(*) filter (where issue = 'HEALTHY') as healthy, count(*) filter (where issue = 'WARNING') as warned, count(*) filter (where issue = 'STALE_ROUTE') as stale,
     count(*) filter (where issue in ('ROBOTS_DENIAL', 'ACCESS_DENIAL')) as denied, count(*) filter (where status = 'SUCCESS' and snapshot_complete and jobs_observed = 0 and not list_contains(warnings, 'upstream reports zero active jobs')) as unexpected_empty
 from c""")
-def coverage_summary(s: Source) -> DataFrame:
+def w1_f7_f8_coverage_counts(s: Source) -> DataFrame:
     rows = windows.latest_attempts(s.attempts).withColumn("issue", issue())
     of = lambda *names: F.count_if(F.col("issue").isin(*names))
     empty = predicates.unexpected_empty(F.col("status"), F.col("snapshot_complete"), F.col("jobs_observed"), F.col("warnings"))
@@ -120,11 +120,6 @@ def f8_unexpected_empty(s: Source) -> DataFrame:
     return s.attempts.agg(F.count("*").alias("n"), F.count_if(predicates.unexpected_empty(F.col("status"), F.col("snapshot_complete"), F.col("jobs_observed"), F.col("warnings"))).alias("unexpected"))
 
 
-@query("select c_custkey, c_name from customer where c_nationkey in (1, 2, 3) and c_acctbal > 0 order by c_name, c_custkey limit 50")
-def f1_targets(s: Source) -> DataFrame:
-    return s.customer.where(F.col("c_nationkey").isin(1, 2, 3) & (F.col("c_acctbal") > 0)).orderBy("c_name", "c_custkey").limit(50).select("c_custkey", "c_name")
-
-
 @query("select doc_id, coalesce(nullif(case when doc_id % 3 = 0 then '' else lang end, ''), source) as value from documents")
 def f2_effective_value(s: Source) -> DataFrame:
     return s.documents.withColumn("detail", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang"))).select("doc_id", predicates.effective("detail", "source").alias("value"))
@@ -204,19 +199,6 @@ def j1_left_with_default(s: Source) -> DataFrame:
     return s.customer.join(named, "c_nationkey", "left").select("c_custkey", text.text_or("n_name", "Unresolved").alias("company"))
 
 
-@query(f"""with {ATTEMPTS}, r as (select distinct scan_run_id from attempts order by 1 desc limit 5)
-select scan_run_id, count(*) as attempts, count(distinct case when status <> 'SUCCESS' then portal_id end) as failed_portals, count(*) filter (where error_type = 'AdapterSchemaError') as parser_failures from attempts where scan_run_id in (select scan_run_id from r) group by 1""")
-def j2_a16_w6_run_report(s: Source) -> DataFrame:
-    runs = s.attempts.select("scan_run_id").distinct().orderBy(F.desc("scan_run_id")).limit(5)
-    return s.attempts.join(runs, "scan_run_id", "left_semi").groupBy("scan_run_id").agg(F.count("*").alias("attempts"), F.count_distinct(F.when(F.col("status") != "SUCCESS", F.col("portal_id"))).alias("failed_portals"), F.count_if(F.col("error_type") == "AdapterSchemaError").alias("parser_failures"))
-
-
-@query("select c_mktsegment as segment, count(distinct c_custkey) as master_rows, count(distinct c_nationkey) as clusters, count(distinct r.o_custkey) as resolved from customer left join (select distinct o_custkey from orders where o_orderstatus = 'F') r on r.o_custkey = c_custkey group by 1")
-def j4_a2_attribute_coverage(s: Source) -> DataFrame:
-    done = s.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_custkey").alias("resolved")).distinct()
-    return s.customer.join(done, "c_custkey", "left").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count_distinct("c_custkey").alias("master_rows"), F.count_distinct("c_nationkey").alias("clusters"), F.count_distinct("resolved").alias("resolved"))
-
-
 @query("""with c as (select c_custkey, c_name, c_acctbal > 5000 as eligible, cast(c_acctbal / 500 as bigint) as records, c_mktsegment from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')),
 f as (select * from c order by eligible desc, records desc, c_name limit 200),
 s as (select *, least(records, 10) * 2 + case when eligible then 5 else 0 end + case when contains(lower(c_mktsegment), 'machinery') then 4 else 0 end as priority_score from f)
@@ -240,52 +222,6 @@ def j7_w3_latest_valid(s: Source) -> DataFrame:
     return windows.first_by(s.orders.where("o_orderstatus <> 'P'"), ["o_custkey"], F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "o_orderpriority")
 
 
-@query("select 'customer' as name, count(*) as n from customer union all select 'orders', count(*) from orders union all select 'open', count(*) from orders where o_orderstatus = 'O'")
-def a1_counts(s: Source) -> DataFrame:
-    one = lambda df, n: df.agg(F.lit(n).alias("name"), F.count("*").alias("n"))
-    return one(s.customer, "customer").unionByName(one(s.orders, "orders")).unionByName(one(s.orders.where("o_orderstatus = 'O'"), "open"))
-
-
-@query("""with f as (select user_id, bool_or(event_type = 'purchase') as a, bool_or(event_type = 'signup') as b from events where event_type in ('purchase', 'signup') and value > 100 group by 1)
-select count(*) filter (where a and not b) as purchase_only, count(*) filter (where b and not a) as signup_only, count(*) filter (where a and b) as found_on_both from f""")
-def a4_source_overlap(s: Source) -> DataFrame:
-    kind = F.col("event_type")
-    f = s.events.where(kind.isin("purchase", "signup") & (F.col("value") > 100)).groupBy("user_id").agg(F.bool_or(kind == "purchase").alias("a"), F.bool_or(kind == "signup").alias("b"))
-    return f.agg(F.count_if(F.col("a") & ~F.col("b")).alias("purchase_only"), F.count_if(F.col("b") & ~F.col("a")).alias("signup_only"), F.count_if(F.col("a") & F.col("b")).alias("found_on_both"))
-
-
-@query("""select 'Language' as dimension, coalesce(nullif(lang, ''), 'Unknown') as value, count(*) as active_jobs from documents group by 2 union all
-select 'Source', coalesce(nullif(source, ''), 'Unknown'), count(*) from documents group by 2 union all
-select 'Size', case when n_chars < 1000 then 'short' when n_chars < 5000 then 'medium' else 'long' end, count(*) from documents group by 2 union all
-select 'Quality', case quality when 1 then 'good' when 0 then 'bad' else 'Review' end, count(*) from documents d left join labels l using (doc_id) group by 2""")
-def a5_breakdown(s: Source) -> DataFrame:
-    marks = s.labels.select("doc_id", "quality")
-    rows = s.documents.join(marks, "doc_id", "left")
-    pair = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.alias("value"))
-    size = F.when(F.col("n_chars") < 1000, "short").when(F.col("n_chars") < 5000, "medium").otherwise("long")
-    quality = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").otherwise("Review")
-    long = rows.select(F.inline(F.array(pair("Language", text.text_or("lang", "Unknown")), pair("Source", text.text_or("source", "Unknown")), pair("Size", size), pair("Quality", quality))))
-    return long.groupBy("dimension", "value").agg(F.count("*").alias("active_jobs"))
-
-
-@query("select count(*) filter (where ts >= timestamp '2024-01-30') as today, count(*) filter (where ts >= timestamp '2024-01-30 12:00:00' - interval 7 day) as period, max(event_id) as latest_id from events")
-def a6_activity(s: Source) -> DataFrame:
-    now = F.lit("2024-01-30 12:00:00").cast("timestamp")
-    return s.events.agg(F.count_if(F.col("ts") >= F.date_trunc("DAY", now)).alias("today"), F.count_if(F.col("ts") >= now - F.make_dt_interval(F.lit(7))).alias("period"), F.max("event_id").alias("latest_id"))
-
-
-@query(f"with {ATTEMPTS} select status, scan_run_id, count(*) as n from attempts where scan_run_id = (select max(scan_run_id) from attempts) group by 1, 2")
-def a7_latest_run_counts(s: Source) -> DataFrame:
-    last = F.broadcast(s.attempts.agg(F.max("scan_run_id").alias("scan_run_id")))  # one row
-    return s.attempts.join(last, "scan_run_id").groupBy("status", "scan_run_id").agg(F.count("*").alias("n"))
-
-
-@query("select count(*) filter (where o_orderstatus = 'P') as pending, count(*) filter (where o_orderstatus = 'O') as cyber, count(*) filter (where o_orderstatus = 'F') as non_cyber, count(*) filter (where o_orderstatus = 'X') as needs_detail from orders")
-def a8_status_pivot(s: Source) -> DataFrame:
-    one = lambda c, n: F.count_if(F.col("o_orderstatus") == c).alias(n)
-    return s.orders.agg(one("P", "pending"), one("O", "cyber"), one("F", "non_cyber"), one("X", "needs_detail"))
-
-
 @query("""with r as (select *, case page_id % 5 when 0 then 'https://boards.greenhouse.io/a' when 1 then 'https://jobs.lever.co/b' when 2 then 'https://x.wd5.myworkdayjobs.com/c' when 3 then url else 'ftp://x' end as u from pages)
 select case when contains(u, 'greenhouse') then 'greenhouse' when contains(u, 'lever') then 'lever' when contains(u, 'myworkday') then 'workday' when starts_with(u, 'http') then 'official_html' else 'unsupported' end as adapter, count(*) as portals from r group by 1""")
 def s1_a9_adapter_routing(s: Source) -> DataFrame:
@@ -578,15 +514,6 @@ def f4_scores(s: Source) -> DataFrame:
 # --- extraction ------------------------------------------------------------------------------------------
 
 
-@query("""with a as (select page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 0)) as tag from pages)
-select count(*) as links, count(distinct page_id) as pages from a where length(trim(regexp_replace(tag, '<[^>]*>', '', 'g'))) >= 4""")
-def s17_anchors(s: Source) -> DataFrame:
-    rows = s.pages.select(F.col("page_id").alias("payload_id"), F.concat(F.lit("https://x.example/"), F.col("page_id")).alias("url"), F.col("html").alias("body"))
-    found = F.regexp_extract_all(F.col("body"), F.lit(r'(<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>)'), F.lit(1))
-    each = rows.select("payload_id", F.explode(found).alias("tag"))
-    return each.where(F.length(F.trim(F.regexp_replace("tag", "<[^>]*>", ""))) >= 4).agg(F.count("*").alias("links"), F.count_distinct("payload_id").alias("pages"))
-
-
 @query("""select count(*) as "rows", count(distinct source) as ids, count(source) - count(distinct source) as repeats, min(length(text)) as shortest, max(length(text)) as longest from documents""")
 def s34_replay_stats(s: Source) -> DataFrame:
     return parsers.replay_stats(s.documents.select(F.col("source").alias("source_job_id"), F.col("text").alias("description")))

@@ -78,7 +78,7 @@ COVERAGE = f"""{WITH_ATTEMPT}, coverage as (
 
 
 @query(f", {FLAGS}, {COVERAGE} select *, corporate_clusters - resolved_clusters as unresolved_clusters from coverage")
-def dashboard_coverage_summary(t: State) -> DataFrame:
+def coverage_summary(t: State) -> DataFrame:
     return d.coverage_summary(t)
 
 

@@ -255,9 +255,9 @@ def resolved(base: Column, href: Column) -> Column:
     )
 
 
-#: Link texts that name no record (fixed values), and the paths that do.
-GENERIC_ANCHORS = ("apply", "apply now", "careers", "jobs", "learn more", "open positions", "read more", "search jobs", "see all jobs", "view all jobs", "view job", "view jobs")
-JOB_PATH = r"(?i)/(?:jobs?|careers?|positions?|vacanc(?:y|ies)|openings?)/[^/?#]+"
+#: Paths of records, and link texts that name none (fixed values).
+JOB_PATH = r"(?i)(?:/jobs?/|/job-detail/|/jobdetail/|/positions?/|[?&](?:gh_jid|jobId)=)"
+GENERIC_ANCHORS = ("apply", "apply now", "careers", "jobs", "find jobs", "find a job", "job openings", "learn more", "read more", "search jobs", "view job", "view jobs")
 
 
 def anchors(pages: DataFrame, path: str = JOB_PATH, stoplist: tuple[str, ...] = GENERIC_ANCHORS, url: str = "url", body: str = "body", key: str = "payload_id") -> DataFrame:
