@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NOT_WORD = r"[^\p{L}\p{N}_]+"
+BEYOND_ASCII = r"[^\x00-\x7f]"
 #: Entities that the built-in HTML path decodes (fixed values); the exact path knows all of them.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
@@ -27,11 +28,32 @@ def collapse(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, r"\s+", " "))
 
 
-def normalize(value: Column) -> Column:
+def let(body, **values: Column) -> Column:
+    """``body`` over columns that are computed once for each row, however often it names them."""
+    bound = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.get(F.transform(bound, lambda x: body(*[x[k] for k in values])), F.lit(0))
+
+
+def normalize_ascii(value: Column) -> Column:
     """Lower case, runs of other than letters, digits and underscore to one space, trimmed; null gives ''."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), NOT_WORD, " "))
 
 
+def exact_where(pattern: str, value: Column, exact, plain) -> Column:
+    """``exact`` for values that match, which alone go through Python, and ``plain`` for all others."""
+    odd = F.coalesce(value, F.lit("")).rlike(pattern)
+    return F.when(odd, exact(F.when(odd, value))).otherwise(plain(value))
+
+
+def normalize(value: Column) -> Column:
+    """NFKC, case folded, runs of other than word characters to one space, trimmed; null gives ''.
+
+    Built-in functions do so for ASCII; other texts take one Arrow pass.  Inside higher-order functions, where Python
+    can't go, ``normalize_ascii`` stands in.
+    """
+    return exact_where(BEYOND_ASCII, value, normalize_exact, normalize_ascii)
+
+
 def plain_normalize(value: str | None) -> str:
     """The exact normal form: NFKC, casefold, runs of non-word characters to one space."""
     folded = unicodedata.normalize("NFKC", value or "").casefold()
@@ -40,21 +62,31 @@ def plain_normalize(value: str | None) -> str:
 
 @F.pandas_udf(T.StringType())
 def normalize_exact(values: pd.Series) -> pd.Series:
-    return values.map(plain_normalize)
+    return values.map(plain_normalize, na_action="ignore")
 
 
 def contains_term(normalized: Column, term: str) -> Column:
     """Whether the normalized text holds the term's words side by side; a blank term is in no text."""
+    return padded_contains(F.concat(F.lit(" "), normalized, F.lit(" ")), term)
+
+
+def padded_contains(padded: Column, term: str) -> Column:
+    """contains_term for a normalized text that already has a space at both ends."""
     words = plain_normalize(term)
-    return F.concat(F.lit(" "), normalized, F.lit(" ")).contains(f" {words} ") if words else F.lit(False)
+    return padded.contains(f" {words} ") if words else F.lit(False)
 
 
 def matched_terms(normalized: Column, terms) -> Column:
     """The terms found, in their order."""
+    return padded_matches(F.concat(F.lit(" "), normalized, F.lit(" ")), terms)
+
+
+def padded_matches(padded: Column, terms) -> Column:
+    """matched_terms for a normalized text that already has a space at both ends."""
     terms = [t for t in terms if plain_normalize(t)]
     if not terms:
         return F.array().cast("array<string>")
-    return F.filter(F.array(*[F.when(contains_term(normalized, t), F.lit(t)) for t in terms]), lambda t: t.isNotNull())
+    return F.filter(F.array(*[F.when(padded_contains(padded, t), F.lit(t)) for t in terms]), lambda t: t.isNotNull())
 
 
 def unescape(value: Column) -> Column:
@@ -142,12 +174,12 @@ def display_text(values: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def normalize_title_exact(values: pd.Series) -> pd.Series:
-    return values.map(plain_title)
+    return values.map(plain_title, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
 def normalize_location_exact(values: pd.Series) -> pd.Series:
-    return values.map(plain_location)
+    return values.map(plain_location, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
@@ -156,13 +188,18 @@ def html_lines(values: pd.Series) -> pd.Series:
 
 
 def normalize_title(value: Column) -> Column:
-    return normalize(html_to_text(value))
+    """The normal form of the text without markup; exact for markup, entities and other than ASCII."""
+    return exact_where(r"[^\x00-\x7f]|[&<>]", value, normalize_title_exact, normalize_ascii)
 
 
 def normalize_location(value: Column) -> Column:
     """Parts between bars: normalized, distinct, sorted, joined by ' | '."""
-    parts = F.filter(F.split(F.coalesce(value, F.lit("")), r"\|"), lambda p: F.trim(p) != "")
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(parts, normalize))), " | ")
+
+    def plain(v: Column) -> Column:
+        parts = F.filter(F.split(F.coalesce(v, F.lit("")), r"\|"), lambda p: F.trim(p) != "")
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(parts, normalize_ascii))), " | ")
+
+    return exact_where(BEYOND_ASCII, value, normalize_location_exact, plain)
 
 
 def distinct_lines(value: Column) -> Column:

@@ -70,8 +70,10 @@ def refresh_portals(portals: DataFrame, mappings: DataFrame, retire: bool = True
 
 def names_of(clusters: DataFrame) -> DataFrame:
     """(corporate_cluster_id, name_key) of every normalized name of a cluster."""
-    names = F.array_distinct(F.transform(F.concat(F.array("representative"), F.coalesce("canonical_employers", F.array().cast("array<string>")), F.coalesce("parent_groups", F.array().cast("array<string>"))), normalize))
-    return clusters.select("corporate_cluster_id", F.explode(F.filter(names, lambda x: x != "")).alias("name_key"))
+    none = F.array().cast("array<string>")
+    names = F.array_distinct(F.concat(F.array("representative"), F.coalesce("canonical_employers", none), F.coalesce("parent_groups", none)))
+    each = clusters.select("corporate_cluster_id", F.explode(names).alias("name"))
+    return each.select("corporate_cluster_id", normalize(F.col("name")).alias("name_key")).where("name_key <> ''").distinct()
 
 
 def candidates_of(names: DataFrame, prefix: str) -> DataFrame:

@@ -69,7 +69,7 @@ LATEST = f"""with {ATTEMPTS}, latest as (
     select * from (select *, row_number() over (partition by portal_id order by scan_run_id desc, id desc) as place from attempts) where place = 1
 )"""
 #: SQL twins of the text and URL functions.
-NORM = lambda c: f"trim(regexp_replace(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+NORM = lambda c: f"trim(regexp_replace(replace(lower(coalesce({c}, '')), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 URL_PARTS = """urls as (
     select page_id, url, html, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) as authority,
         regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) as query
