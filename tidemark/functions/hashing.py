@@ -53,7 +53,7 @@ def conflicts(old_title: Column, old_location: Column, old_url: Column, title: C
 
 def payload_hash(*columns: str) -> Column:
     """SHA-256 of the columns as compact JSON with sorted keys and nulls."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+    return json_hash({c: F.col(c) for c in columns})
 
 
 def change_hashes(metadata: list[str], description: list[str], semantic: list[str]) -> dict[str, Column]:
@@ -61,6 +61,38 @@ def change_hashes(metadata: list[str], description: list[str], semantic: list[st
     return {"metadata_hash": payload_hash(*metadata), "description_hash": payload_hash(*description), "semantic_hash": payload_hash(*semantic)}
 
 
+#: Fields that an analysis reads: the better known value, and what it falls back to.
+EFFECTIVE = {
+    "city": ("detail_city", "raw_city"), "company": ("resolved_company_name", "raw_company"), "country": ("detail_country", "raw_country"), "description": ("detail_description", "raw_description"),
+    "employment_type": ("detail_employment_type", "raw_employment_type"), "location": ("detail_location", "raw_location"), "source_url": ("detail_url", "source_url"), "title": ("detail_title", "raw_title"),
+    "workplace_type": ("detail_workplace_type", "raw_workplace_type"),
+}
+#: Characters of a description that a triage reads (fixed value).
+SNIPPET = 1600
+
+
+def effective_field(columns: list[str], name: str) -> Column:
+    first, second = (F.col(c) if c in columns else F.lit(None).cast("string") for c in EFFECTIVE[name])
+    return F.coalesce(F.nullif(first, F.lit("")), second)
+
+
+def analysis_hash(columns: list[str]) -> Column:
+    """Hash of what an analysis of a job reads, over the columns that the table has."""
+    return json_hash({name: effective_field(columns, name) for name in EFFECTIVE})
+
+
+def triage_hash(columns: list[str], metadata: Column, job_id: str = "id") -> Column:
+    """Hash of what a triage of a job reads: its id, compact metadata and the beginning of its description."""
+    text = {name: F.coalesce(effective_field(columns, name), F.lit("")) for name in ("company", "location", "description")}
+    snippet = F.left(text["description"], F.lit(SNIPPET))
+    return json_hash({"job_id": F.col(job_id), "company": text["company"], "title": effective_field(columns, "title"), "location": text["location"], "metadata": metadata, "description_snippet": snippet})
+
+
+def json_hash(fields: dict[str, Column]) -> Column:
+    """SHA-256 of compact JSON with sorted keys and nulls."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
+
+
 def canonical_id(*first_identity: Column) -> Column:
     """A reproducible id for the record that was first seen with this identity."""
     return F.concat(F.lit("CJ-"), F.substring(F.sha2(joined(*first_identity), 256), 1, 32))

@@ -123,7 +123,7 @@ def capped_by_host(df: DataFrame, host: str, order: list, per_host: int, total:
     return ranked.orderBy(*order).limit(total).drop("_place")
 
 
-def detail_candidates(jobs: DataFrame, adapters: list[str], statuses: list[str], hosts: list[str], short: int = 400, per_host: int = 5, total: int = 50) -> DataFrame:
+def detail_candidates(jobs: DataFrame, adapters: list[str], statuses: list[str], hosts: list[str], short: int = 500, per_host: int = 2, total: int = 5) -> DataFrame:
     """Active jobs with a short description whose detail page may be asked for, by status priority and id, capped."""
     rank = F.array_position(F.array(*map(F.lit, statuses)), F.col("ai_status"))
     fit = jobs.where(F.col("is_active") & F.col("adapter").isin(adapters) & F.col("ai_status").isin(statuses) & (F.length(F.trim(text_or("raw_description", ""))) < short))

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import driver_queries, source_queries, state_queries
+from . import driver_queries, operator_queries, source_queries, state_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return driver_queries.QUERIES | source_queries.QUERIES | state_queries.QUERIES
+    return driver_queries.QUERIES | operator_queries.QUERIES | source_queries.QUERIES | state_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return driver_queries.ORACLE | source_queries.ORACLE | state_queries.ORACLE
+    return driver_queries.ORACLE | operator_queries.ORACLE | source_queries.ORACLE | state_queries.ORACLE

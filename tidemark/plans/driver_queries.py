@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import hashing, text, urls, values
 from ..operators import classify, dedup, lifecycle, predicates, resolve, windows
@@ -559,30 +558,6 @@ def d6_new_candidates(s: Source) -> DataFrame:
     return dedup.new_candidates(rows, s.nation.where("n_nationkey < 12"), ["n_name"]).drop("ordinal")
 
 
-@query("""with a as (select distinct user_id, cast(ts as date) as day from events), seen as (select user_id, max(day) as last_day from a where day <= date '2024-01-20' group by 1)
-select user_id, date_diff('day', last_day, date '2024-01-20') as missing, date_diff('day', last_day, date '2024-01-20') < 2 as is_active from seen""")
-def t3_missing_counters(s: Source) -> DataFrame:
-    """The window form of the closure rule where every day is a complete run: misses since last seen."""
-    seen = s.events.where(F.to_date("ts") <= "2024-01-20").groupBy("user_id").agg(F.max(F.to_date("ts")).alias("last_day"))
-    missing = F.datediff(F.lit("2024-01-20").cast("date"), F.col("last_day"))
-    return seen.select("user_id", missing.cast("long").alias("missing"), (missing < 2).alias("is_active"))
-
-
-@query("""with d as (select distinct user_id, cast(ts as date) as day from events), g as (select user_id, day, date_diff('day', lag(day) over (partition by user_id order by day), day) as gap from d)
-select user_id, count(*) filter (where gap > 2) as reopened, coalesce(max(gap), 0) as longest_gap from g group by 1""")
-def t4_reopened(s: Source) -> DataFrame:
-    days = s.events.select("user_id", F.to_date("ts").alias("day")).distinct()
-    gap = F.datediff("day", F.lag("day").over(W.partitionBy("user_id").orderBy("day")))
-    return days.withColumn("gap", gap).groupBy("user_id").agg(F.count_if(F.coalesce(F.col("gap") > 2, F.lit(False))).alias("reopened"), F.coalesce(F.max("gap"), F.lit(0)).cast("long").alias("longest_gap"))
-
-
-@query("""with o as (select user_id, cast(ts as date) as day, event_type, event_id, lag(event_type) over (partition by user_id order by event_id) as was from events)
-select count(*) as observations, count(*) filter (where was is null or was <> event_type) as changed from o""")
-def t5_change_flags(s: Source) -> DataFrame:
-    was = F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id"))
-    return s.events.withColumn("was", was).agg(F.count("*").alias("observations"), F.count_if(F.col("was").isNull() | (F.col("was") != F.col("event_type"))).alias("changed"))
-
-
 @query("""with a as (select user_id, arg_max(event_type, event_id) as h, arg_max(event_id % 3, event_id) as sem from events where cast(ts as date) <= date '2024-01-10' group by 1), b as (select user_id, arg_max(event_type, event_id) as h, arg_max(event_id % 3, event_id) as sem from events where cast(ts as date) = date '2024-01-11' group by 1)
 select coalesce(a.user_id, b.user_id) as user_id, case when b.user_id is null then 'CLOSED' when a.user_id is null then 'NEW' when a.h = b.h and a.sem = b.sem then 'UNCHANGED' else 'CHANGED' end as change,
     coalesce(b.user_id is not null and (a.user_id is null or a.sem <> b.sem), false) as needs_analysis from a full join b on a.user_id = b.user_id""")
@@ -651,34 +626,6 @@ def j11_global_resolution(s: Source) -> DataFrame:
     return resolve.resolve_global(jobs, clusters_of(s), aliases).select("p_partkey", "method", F.size("candidate_ids").cast("long").alias("candidates"))
 
 
-@query("""with m as (select distinct l_partkey % 40 as portal_id, 'c' || l_suppkey as cluster, 'supplier ' || (l_suppkey // 2) as name from lineitem where l_suppkey < 8 and l_partkey % 40 < 30),
-p as (select portal_id, count(distinct cluster) as n from m group by 1), j as (select p_partkey, p_partkey % 40 as portal_id, case when p_partkey % 9 = 0 then '' else 'supplier ' || (p_partkey % 5) end as n from part),
-h as (select portal_id, name, count(distinct cluster) as hits from m group by 1, 2)
-select p_partkey, case when p.n is null then 'portal_has_no_cluster_mapping' when p.n = 1 then 'single_portal_mapping' when j.n = '' then 'shared_portal_missing_company' when hits = 1 then 'exact_company_name' when hits > 1 then 'ambiguous_exact_company_name' else 'shared_portal_no_exact_company_match' end as method
-from j left join p on p.portal_id = j.portal_id left join h on h.portal_id = j.portal_id and h.name = j.n""")
-def j10_portal_resolution(s: Source) -> DataFrame:
-    mappings = s.lineitem.where("l_suppkey < 8 and l_partkey % 40 < 30").select((F.col("l_partkey") % 40).alias("portal_id"), F.concat(F.lit("c"), F.col("l_suppkey")).alias("corporate_cluster_id"), F.lit("").alias("parent_override")).distinct()
-    jobs = s.part.select("p_partkey", (F.col("p_partkey") % 40).alias("portal_id"), F.when(F.col("p_partkey") % 9 == 0, "").otherwise(F.concat(F.lit("Supplier "), F.col("p_partkey") % 5)).alias("raw_company"))
-    aliases = s.spark.createDataFrame([], "normalized_alias string, corporate_cluster_id string, status string")
-    return resolve.resolve_in_portal(jobs, mappings, clusters_of(s), aliases).select("p_partkey", "method")
-
-
-OVERLAP = """c as (select s_suppkey as company_id, 'jobs.' || 'acme' || (s_suppkey % 25) || '.com' as own, 'acme' || (s_suppkey % 25) as token, 'acme' || s_suppkey as key from supplier),
-b as (select p_partkey, p_partkey || '' as slug, 'https://board.example/' || p_partkey as url, 'acme' || (p_partkey % 40) as name, 'acme' || (p_partkey % 30) as st from part where p_partkey < 400)"""
-
-
-@query(f"""with {OVERLAP}, t as (select company_id, p_partkey, case when contains(key, name) or contains(name, key) then 'SLUG_PLUS_NAME' else 'SLUG' end as basis from c join b on st = token),
-n as (select company_id, p_partkey from c join b on key = name), h as (select p_partkey, count(distinct company_id) as hits from n group by 1)
-select company_id, p_partkey, basis from t union all select company_id, p_partkey, 'NAME_EXACT' from n join h using (p_partkey) where hits = 1 and not exists (select 1 from t where t.company_id = n.company_id and t.p_partkey = n.p_partkey)""")
-def j13_j16_overlap(s: Source) -> DataFrame:
-    k = F.col("s_suppkey")
-    companies = s.supplier.select(k.alias("company_id"), F.concat(F.lit("jobs.acme"), k % 25, F.lit(".com")).alias("domain"), F.array().cast("array<string>").alias("portals"), F.array(F.concat(F.lit("Acme "), k)).alias("names"))
-    p = F.col("p_partkey")
-    boards = s.part.where("p_partkey < 400").select(F.lit("lever").alias("family"), F.concat(F.lit("acme"), p % 30).alias("slug"), F.concat(F.lit("https://board.example/"), p).alias("url"), F.concat(F.lit("Acme-"), p % 40).alias("name"), F.lit("").alias("domain"))
-    out = resolve.overlap(companies, boards)
-    return out.select("company_id", F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("p_partkey"), F.col("match_basis").alias("basis"))
-
-
 # --- registry, queues and further state ------------------------------------------------------------------
 
 
@@ -697,15 +644,6 @@ def j12_reconcile(s: Source) -> DataFrame:
     return resolve.reconcile(rows, clusters_of(s), aliases).select("p_partkey", "match_method")
 
 
-@query("""with m as (select l_partkey % 120 as portal_id, l_suppkey, 'f' || (l_suppkey % 3) as family from lineitem where l_partkey % 120 < 80), a as (select portal_id, count(distinct l_suppkey) as n, count(distinct family) as families from m group by 1)
-select s_suppkey as id, coalesce(n, 0) as cluster_count, coalesce(families, 0) as families, n is not null as active_in_registry, case when n is null then 'RETIRED' else 'HEALTHY' end as health_state from supplier left join a on portal_id = s_suppkey""")
-def a14_portal_refresh(s: Source) -> DataFrame:
-    none = F.array().cast("array<string>")
-    portals = s.supplier.select(F.col("s_suppkey").alias("id"), F.lit(0).cast("long").alias("cluster_count"), none.alias("ats_families"), F.lit(False).alias("metadata_conflict"), F.lit(True).alias("active_in_registry"), F.lit("HEALTHY").alias("health_state"))
-    m = s.lineitem.where("l_partkey % 120 < 80").select((F.col("l_partkey") % 120).alias("portal_id"), F.col("l_suppkey").alias("corporate_cluster_id"), F.concat(F.lit("f"), F.col("l_suppkey") % 3).alias("ats_family"), F.lit("x").alias("ats_confidence"))
-    return resolve.refresh_portals(portals, m).select("id", "cluster_count", F.size("ats_families").cast("long").alias("families"), "active_in_registry", "health_state")
-
-
 @query("""select p_brand as cohort, count(distinct p_type) as employers, count(*) as sources, count(*) filter (where p_size > 25) as ready from part group by 1""")
 def a17_resolution_summary(s: Source) -> DataFrame:
     return s.part.groupBy(F.col("p_brand").alias("cohort")).agg(F.count_distinct("p_type").alias("employers"), F.count("*").alias("sources"), F.count_if(F.col("p_size") > 25).alias("ready"))

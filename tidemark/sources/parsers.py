@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import urls
 from ..functions.text import collapse, html_to_text, strip_tags, unescape
@@ -180,6 +181,55 @@ def workday_facets(payloads: DataFrame) -> DataFrame:
     return sums.select("payload_id", "parameter", "values", "counted", coverage.alias("coverage"))
 
 
+#: Dimensions in the order in which they are preferred, and levels of a subdivision (fixed values).
+PREFERRED_DIMENSIONS = ("jobFamilyGroup", "timeType", "locations", "workerSubType")
+DEPTH = 8
+
+
+def next_dimension(payloads: DataFrame) -> DataFrame:
+    """(payload_id, dimension, ids): the facet to divide a payload by: not applied yet (``applied``: parameter=value
+    pairs), with at least two values, preferred ones first and then in the payload's order."""
+    rows = payloads.select("payload_id", "applied", F.posexplode(items_at(F.try_parse_json("body"), "$.facets")).alias("ordinal", "f"))
+    rows = keep_first(rows.withColumn("dimension", text_at("f", "$.facetParameter")).where("dimension is not null"), ["payload_id", "dimension"])
+    ids = F.array_distinct(F.filter(F.transform(items_at("f", "$.values"), lambda x: text_at(x, "$.id")), lambda x: x.isNotNull()))
+    preferred = F.nullif(F.array_position(F.array(*map(F.lit, PREFERRED_DIMENSIONS)), F.col("dimension")), F.lit(0))
+    fit = rows.withColumns({"ids": ids, "place": F.struct(F.coalesce(preferred, F.lit(99)), "ordinal")}).where((F.size("ids") > 1) & ~F.exists("applied", lambda a: F.substring_index(a, "=", 1) == F.col("dimension")))
+    return fit.groupBy("payload_id").agg(F.min_by("dimension", "place").alias("dimension"), F.min_by("ids", "place").alias("ids"))
+
+
+def subdivision(branches: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The branches that a capped catalog is divided into, over landed answers.
+
+    ``branches`` has payload_id, portal_id, url, body and applied (sorted ``parameter=value`` pairs, empty for the
+    root).  Returns payload_id, portal_id, applied, level, total, dimension and state: LEAF, EXPANDED, UNRESOLVED (capped
+    with nothing left to divide by, or too deep) or MISSING (no answer landed).  It finds more records but proves nothing:
+    a capped catalog is never complete.  Levels are joins of one frontier with the answers; at most ``depth``.
+    """
+    landed = branches.select("payload_id", "portal_id", F.array_sort("applied").alias("applied"), F.try_variant_get(F.try_parse_json("body"), "$.total", "long").alias("total"), "body")
+    wanted = branches.select("portal_id").distinct().withColumn("applied", F.array().cast("array<string>"))
+    out = None
+    for level in range(depth + 1):
+        here = keep_first(wanted.join(landed, ["portal_id", "applied"], "left").withColumn("ordinal", F.col("payload_id")), ["portal_id", "applied"]).drop("ordinal")
+        plan = here.join(next_dimension(here.where(F.col("total") == CAPPED_TOTAL)), "payload_id", "left") if level < depth else here.withColumns({"dimension": F.lit(None).cast("string"), "ids": F.array().cast("array<string>")})
+        state = F.when(F.col("payload_id").isNull(), "MISSING").when(F.coalesce(F.col("total") != CAPPED_TOTAL, F.lit(True)), "LEAF").when(F.col("dimension").isNotNull(), "EXPANDED").otherwise("UNRESOLVED")
+        plan = plan.withColumns({"state": state, "level": F.lit(level)})
+        part = plan.select("payload_id", "portal_id", "applied", "level", "total", F.when(F.col("state") == "EXPANDED", F.col("dimension")).alias("dimension"), "state")
+        out = part if out is None else out.unionByName(part)
+        children = plan.where("state = 'EXPANDED'").select("portal_id", "applied", "dimension", F.explode("ids").alias("value"))
+        wanted = children.select("portal_id", F.array_sort(F.array_append("applied", F.concat("dimension", F.lit("="), "value"))).alias("applied")).distinct()
+        if wanted.isEmpty():
+            break
+    return out
+
+
+def subdivided_jobs(branches: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Records of all branches that a subdivision visits, the first of each id by level and filters."""
+    visited = subdivision(branches, depth).where("payload_id is not null").select("payload_id", "level", F.array_join("applied", "&").alias("path"))
+    rows = workday(branches.drop("applied")).join(visited, "payload_id")
+    place = F.row_number().over(W.partitionBy("portal_id", "source_job_id").orderBy("level", "path", "ordinal"))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place", "path")
+
+
 def oracle(payloads: DataFrame) -> DataFrame:
     key = any_at(J, "$.Id")
     url = F.concat(F.regexp_replace(F.col("url"), "/+$", ""), F.lit("/job/"), urls.encoded(key))

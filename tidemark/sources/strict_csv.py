@@ -43,7 +43,7 @@ def checked(df: DataFrame, contract: Contract) -> DataFrame:
     if contract.unique:
         from pyspark.sql import Window as W
 
-        df = df.withColumn("_n", F.count("*").over(W.partitionBy(*contract.unique)))
+        df = df.withColumn("_n", F.count("*").over(W.partitionBy(*[F.trim(F.col(f"`{u}`")) for u in contract.unique])))
         flags.append(F.when(F.col("_n") > 1, F.lit("repeated key")))
     problems = F.filter(F.array(*flags), lambda x: x.isNotNull()) if flags else F.array().cast("array<string>")
     return df.withColumn("problems", problems).drop("_wide", "_n")
