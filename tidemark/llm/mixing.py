@@ -64,6 +64,23 @@ def summed(features: str, values: np.ndarray) -> Column:
     return F.aggregate(features, F.lit(0.0), lambda a, b: a + F.get(table, b))
 
 
+def numbered(bins: str, telling: np.ndarray) -> Column:
+    """The places, from 0, of those ``bins`` that are among the sorted numbers ``telling``.
+
+    A bitmap over all bins says which are, and counts of set bits before each of its words give their places, so that
+    the constants stay small and each lookup is of constant cost.
+    """
+    bits = np.zeros(BINS // 64, np.uint64)
+    np.bitwise_or.at(bits, telling // 64, np.uint64(1) << (telling % 64).astype(np.uint64))
+    before = np.searchsorted(telling, np.arange(0, BINS, 64))
+    words, counts = constant(bits.view(np.int64).tolist(), "bigint"), constant(before.tolist(), "int")
+    word = lambda b: F.get(words, F.shiftright(b, 6))
+    at = lambda b: b.bitwiseAND(F.lit(63))
+    below = lambda b: F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), at(b)))
+    found = F.filter(bins, lambda b: F.getbit(word(b), at(b)) == 1)
+    return F.transform(found, lambda b: F.get(counts, F.shiftright(b, 6)) + F.bit_count(word(b).bitwiseAND(below(b))))
+
+
 def marked(labels: DataFrame) -> DataFrame:
     """(doc_id, domain) of at most TRAIN_ROWS labelled rows; repeated labels count once, conflicting ones not at all."""
     known = labels.where("quality in (0, 1) and toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (2 * F.col("quality") + F.col("toxic")).cast("int").alias("domain"))
@@ -77,7 +94,7 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[int]
     ``docs`` has doc_id, text and text_key; ``labels`` has doc_id, quality and toxic.  At most TRAIN_ROWS labelled rows are
     broadcast to the scan and fitted on, written first so that only their texts are described; every document is
     scored.  At most BINS telling words and STATS * STAT_BINS counts of statistics for each domain come to the
-    driver; an array over all bins has each word's number.  A domain without rows is absent.
+    driver.  A domain without rows is absent.
     """
     known = materialize(described(docs.join(F.broadcast(marked(labels)), "doc_id")), "labelled")
     rows = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -97,15 +114,13 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[int]
     per = np.array([rows[d] for d in domains], float)
     common = (table.sum(axis=0) + 0.5) / (total + 1)
     logs = np.log((table + SHRINK * common) / (per[:, None] + SHRINK)) - np.log(common)
-    numbers = np.zeros(BINS, int)
-    words = np.zeros((len(domains), len(telling) + 1))  # number 0 tells nothing
-    for n, r in enumerate(sorted(telling, key=lambda r: r["f"]), 1):
-        numbers[r["f"]] = n
+    telling = sorted(telling, key=lambda r: r["f"])
+    words = np.zeros((len(domains), len(telling)))
+    for n, r in enumerate(telling):
         for i, d in enumerate(domains):
             if r["off"][i] >= DEVIATIONS:
                 words[i, n] = np.log((r[f"c{d}"] + SHRINK * r["base"]) / (rows[d] + SHRINK)) - np.log(r["base"])
-    number = constant(numbers.tolist(), "int")
-    hits = F.array_distinct(F.transform("bins", lambda b: F.get(number, b))) if telling else F.array().cast("array<int>")
+    hits = F.array_distinct(numbered("bins", np.array([r["f"] for r in telling], np.int64))) if telling else F.array().cast("array<int>")
     docs = docs.withColumn("hits", hits)
     scores = [F.lit(float(np.log(rows[d] / total))) + summed("hits", words[i]) + summed("stats", logs[i]) for i, d in enumerate(domains)]
     scored = docs.select("doc_id", "text_key", "tokens", F.array(*scores).alias("s"))
