@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.hashing import ats_key, conflicts, fingerprint, source_key, variant_id
 from ..functions.text import normalize_location, normalize_title
 from ..functions.urls import canonical_url
+from ..storage import cut
+from .components import connected
 from .windows import keep_first, keep_last
 
 #: Keys in the order in which they are tried, and the method that a hit on each is named by.
@@ -57,67 +60,58 @@ def match_state(candidates: DataFrame, state: DataFrame) -> DataFrame:
     return rows.select(*kept, hit.alias("canonical_job_id"), method.alias("method"))
 
 
-def component_labels(rows: DataFrame, rounds: int = 40) -> DataFrame:
-    """Add ``component``: rows that share any key, directly or through others, get one label (their least ordinal).
-
-    Labels spread over keys by aggregation until none changes; each round is checkpointed, so that lineage stays
-    short and a lost executor costs a read.
-    """
-    spark = rows.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+def component_labels(rows: DataFrame) -> DataFrame:
+    """Add ``component``: rows that share any key, directly or through others, get one label (their least ordinal)."""
     pairs = None
     for i, (key, _) in enumerate(PROBES):
         one = rows.where(f"{key} is not null").select("ordinal", F.concat(F.lit(f"{i}:"), F.col(key)).alias("key"))
         pairs = one if pairs is None else pairs.unionByName(one)
-    pairs = pairs.checkpoint()
-    label = rows.select("ordinal", F.col("ordinal").alias("component"))
-    for _ in range(rounds):
-        by_key = pairs.join(label, "ordinal").groupBy("key").agg(F.min("component").alias("low"))
-        spread = pairs.join(by_key, "key").groupBy("ordinal").agg(F.min("low").alias("low"))
-        new = label.join(spread, "ordinal", "left").select("ordinal", F.least("component", F.coalesce("low", "component")).alias("component"), (F.coalesce("low", "component") < F.col("component")).alias("moved")).checkpoint()
-        label = new.select("ordinal", "component")
-        if new.where("moved").limit(1).count() == 0:
-            return rows.join(label, "ordinal")
-    raise RuntimeError("components did not settle")
-
-
-def fold(group: pd.DataFrame) -> pd.DataFrame:
-    """The exact order-dependent fold of one component: match each row against those before it, then register it."""
+    pairs = cut(pairs)
+    least = cut(pairs.groupBy("key").agg(F.min("ordinal").alias("u")))
+    found = connected(pairs.join(least, "key").select(F.col("ordinal").alias("v"), "u"))
+    return rows.join(found.withColumnRenamed("node", "ordinal"), "ordinal", "left").withColumn("component", F.coalesce("component", "ordinal"))
+
+
+def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The exact order-dependent fold of components whose rows come in order: match each row against those before it,
+    then register it.  Only the owners of the present component's keys are held, never its rows."""
     owners: dict[tuple[str, str], dict] = {}
-    out = []
-    for row in group.sort_values(["is_new", "ordinal"]).to_dict("records"):
-        chosen = method = None
-        if row["is_new"]:
-            for key, name in PROBES:
-                old = owners.get((key, row[key])) if row[key] else None
-                if old and (key == "k_print" or not any(old[f] and row[f] and old[f] != row[f] for f in FIELDS)):
-                    chosen, method = old["canonical_job_id"], name
-                    break
-            row["canonical_job_id"] = chosen or row["new_id"]
-            out.append((row["ordinal"], row["canonical_job_id"], method))
-        for key, _ in PROBES:
-            if row[key]:
-                owners[key, row[key]] = row
-    return pd.DataFrame(out, columns=["ordinal", "canonical_job_id", "method"])
-
-
-FOLDED = T.StructType([T.StructField("ordinal", T.LongType()), T.StructField("canonical_job_id", T.StringType()), T.StructField("method", T.StringType())])
+    now = None
+    for frame in frames:
+        out = []
+        for row in frame.to_dict("records"):
+            if row["component"] != now:
+                owners, now = {}, row["component"]
+            chosen = method = None
+            if row["is_new"]:
+                for key, name in PROBES:
+                    old = owners.get((key, row[key])) if row[key] else None
+                    if old and (key == "k_print" or not any(old[f] and row[f] and old[f] != row[f] for f in FIELDS)):
+                        chosen, method = old["canonical_job_id"], name
+                        break
+                row["canonical_job_id"] = chosen or row["new_id"]
+                out.append((row["ordinal"], row["canonical_job_id"], method))
+            held = {f: row[f] for f in (*FIELDS, "canonical_job_id")}
+            owners.update(((key, row[key]), held) for key, _ in PROBES if row[key])
+        yield pd.DataFrame(out, columns=["ordinal", "canonical_job_id", "method"])
+
+
+FOLDED = "ordinal long, canonical_job_id string, method string"
 
 
 def assign(candidates: DataFrame, state: DataFrame) -> DataFrame:
     """(ordinal, canonical_job_id, method) of keyed candidates in order, each seeing the state and those before it.
 
     ``candidates`` has new_id, the id that a row gets if nothing matches.  Matches need a shared key, so that
-    they never leave a component of rows that share keys; components are folded apart and in parallel.
+    they never leave a component of rows that share keys; components are folded apart and in parallel, each as a
+    stream of its rows.
     """
     need = ["ordinal", *[k for k, _ in PROBES], "n_title", "n_location"]
     # Stored rows come before all new ones: their ordinals are moved below any of a batch.
     stored = state.select((F.col("ordinal") - (1 << 62)).alias("ordinal"), *need[1:], "canonical_job_id", F.lit(None).cast("string").alias("new_id"), F.lit(False).alias("is_new"))
     fresh = candidates.select(*need, F.lit(None).cast("string").alias("canonical_job_id"), "new_id", F.lit(True).alias("is_new"))
-    return component_labels(stored.unionByName(fresh)).groupBy("component").applyInPandas(fold, FOLDED)
+    rows = component_labels(stored.unionByName(fresh))
+    return rows.repartition("component").sortWithinPartitions("component", "is_new", "ordinal").mapInPandas(fold, FOLDED)
 
 
 def drop_repeated_keys(jobs: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import cut
+
 
 def first_by(df: DataFrame, keys: list[str], *order: Column, k: int = 1) -> DataFrame:
     """The first k rows of each key by a total order; Spark prunes to k rows before the shuffle."""
@@ -46,12 +48,12 @@ def two_stage_top(df: DataFrame, n: int, first: list[Column], score: Column, sec
 def batches(df: DataFrame, size: int, *order: Column) -> DataFrame:
     """A batch number from 0 for rows in order.
 
-    Range partitioning sorts the rows and only the partitions' sizes go through the driver, so that no task
-    holds them all; use it for queues, whose order is by an id.
+    Range partitioning sorts the rows, which are written once; of them only the partitions' sizes go through the
+    driver, so that no task holds them all.  Use it for queues, whose order is by an id.
     """
     if size < 1:
         raise ValueError("size must be positive")
-    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % (1 << 33)})
+    sorted_rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % (1 << 33)}))
     counts = {r["_part"]: r["n"] for r in sorted_rows.groupBy("_part").agg((F.max("_at") + 1).alias("n")).collect()}
     before, total = {}, 0
     for part in sorted(counts):

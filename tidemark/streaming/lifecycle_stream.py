@@ -31,15 +31,18 @@ class SnapshotStore:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
     def pointer(self) -> dict:
-        """Version and last run; version -1 before the first."""
-        fs, path = self._fs(), self._path("current.json")
-        if not fs.exists(path):
-            return {"version": -1, "run_id": -1}
-        stream = fs.open(path)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        """Version and last run of the newest version that was written to its end; version -1 before the first."""
+        fs, newest = self._fs(), {"version": -1, "run_id": -1}
+        for found in fs.globStatus(self._path("v=*/committed.json")) or ():
+            stream = fs.open(found.getPath())
+            try:
+                told = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            except ValueError:  # the writer was stopped inside it
+                continue
+            finally:
+                stream.close()
+            newest = max(newest, told, key=lambda x: x["version"])
+        return newest
 
     def read(self) -> tuple[DataFrame, DataFrame]:
         now = self.pointer()["version"]
@@ -49,14 +52,14 @@ class SnapshotStore:
         return self.spark.read.schema(lifecycle.STATE).parquet(f"{base}/sources"), self.spark.read.schema(lifecycle.PORTALS).parquet(f"{base}/portals")
 
     def write(self, sources: DataFrame, portals: DataFrame, run_id: int) -> None:
+        """The next version: its tables, and last the file that makes it count.  Nothing older is touched, so that a
+        crash at any point leaves the version before."""
         version = self.pointer()["version"] + 1
         sources.write.mode("overwrite").parquet(f"{self.folder}/v={version}/sources")
         portals.write.mode("overwrite").parquet(f"{self.folder}/v={version}/portals")
-        out = self._fs().create(self._path("current.json.new"), True)
+        out = self._fs().create(self._path(f"v={version}/committed.json"), True)
         out.write(bytearray(json.dumps({"version": version, "run_id": run_id}).encode()))
         out.close()
-        self._fs().delete(self._path("current.json"), False)
-        self._fs().rename(self._path("current.json.new"), self._path("current.json"))
 
 
 def fold_runs(store: SnapshotStore, rows: DataFrame, misses: int = 2) -> int:
