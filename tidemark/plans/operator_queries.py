@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import classify, dedup, lifecycle, predicates, resolve
+from ..operators import classify, dedup, ingest, lifecycle, predicates, resolve
 from ..session import importable
 from ..sources import parsers, registries
 from ..sources.strict_csv import checked
@@ -206,6 +206,44 @@ def t4_reopened(s: Source) -> DataFrame:
     return lifecycle.reopen(rows, F.col("seen")).select("o_orderkey", "missing", "is_active", F.col("closed_at").isNull().alias("open"))
 
 
+#: Orders before 1999 are the first run, the others the second; every third order comes again in it.
+WAVES = """j as (select o_orderkey as k, o_custkey % 60 as c, case when o_orderkey % 5 = 0 then 'Sales lead' else 'Security analyst ' || (o_orderkey % 23) end as title, 'Loc ' || (o_orderkey % 4) as place, o_orderdate < timestamp '1999-01-01' as early, o_orderkey % 3 = 0 as again from orders),
+k as (select *, title not like 'Sales%' as wanted, min(case when title not like 'Sales%' then case when early then k else k + 1000000000 end end) over (partition by c, title, place) as leader from j)"""
+
+
+def two_runs(s: Source) -> ingest.Ingested:
+    """Two runs without portals: companies resolve by name, jobs merge by company, title and place."""
+    k = F.col("o_orderkey")
+    jobs = s.orders.select(
+        k.alias("ordinal"), F.lit(None).cast("long").alias("portal_id"), F.lit("src").alias("source"), k.cast("string").alias("source_job_id"), F.lit("").alias("apply_url"), F.when(k % 5 == 0, "Sales lead").otherwise(F.concat(F.lit("Security Analyst  "), k % 23)).alias("title"),
+        F.concat(F.lit("FIRM "), F.col("o_custkey") % 60).alias("raw_company"), F.concat(F.lit("Loc "), k % 4).alias("location"), F.lit("DE").alias("country"), F.lit("").alias("description"), F.lit("trainee").alias("employment_type"), F.lit("").alias("workplace_type"),
+        F.lit("").alias("ats_job_id"), F.lit("").alias("requisition_id"), F.col("o_orderdate").cast("timestamp").alias("at"), (F.col("o_orderdate") < "1999-01-01").alias("early"),
+    )
+    none = F.array().cast("array<string>")
+    firms = s.orders.select((F.col("o_custkey") % 60).alias("c")).distinct().where("c % 2 = 0").select(F.concat(F.lit("c"), "c").alias("corporate_cluster_id"), F.concat(F.lit("Firm "), "c").alias("representative"), none.alias("canonical_employers"), none.alias("parent_groups"))
+    empty = lambda schema: s.spark.createDataFrame([], schema)
+    mappings, aliases = empty("corporate_cluster_id string, portal_id long, parent_override string"), empty("normalized_alias string, corporate_cluster_id string, status string")
+    rules = ({"categories": {"security": ["security analyst"]}}, {"include_terms": ["trainee"]}, {"target_countries": ["DE"]})
+    first = ingest.ingest_run(jobs.where("early").drop("early"), empty(ingest.SOURCES), empty(ingest.CANONICAL), firms, mappings, aliases, rules, 1)
+    late = jobs.where(~F.col("early") | (F.col("ordinal") % 3 == 0)).withColumn("description", F.when(F.col("early") & (F.col("ordinal") % 2 == 0), "changed").otherwise("")).withColumn("at", F.lit("2005-01-01").cast("timestamp")).drop("early")
+    return ingest.ingest_run(late, first.sources, first.canonical, firms, mappings, aliases, rules, 2, 1)
+
+
+@query(f"""with {WAVES} select k as source_job_id, case when wanted then 'INCLUDE' else 'EXCLUDE' end as filter_status, case when c % 2 = 0 then 'c' || c else 'EXTERNAL:src:firm ' || c end as corporate_cluster_id, case when wanted then leader % 1000000000 end as leader, case when early and not again then 1 else 2 end as last_run from k""")
+def t1_ingest_sources(s: Source) -> DataFrame:
+    out = two_runs(s).sources
+    key = F.col("source_job_id").cast("long")
+    leader = F.substring("canonical_job_id", 1, 100)
+    first = s.orders.select(hashing.canonical_id(hashing.source_key(F.lit("src"), F.col("o_orderkey").cast("string"))).alias("canonical_job_id"), F.col("o_orderkey").alias("leader"))
+    run = F.when(F.col("last_seen_at") == "2005-01-01", 2).otherwise(1)
+    return out.withColumn("canonical_job_id", leader).join(first, "canonical_job_id", "left").select(key.alias("source_job_id"), "filter_status", "corporate_cluster_id", "leader", run.alias("last_run"))
+
+
+@query(f"with {WAVES} select k as source_job_id, case when early then k % 2 = 0 else true end as payload_changed, case when not wanted then '' when early then 'source_job_id' when leader < 1000000000 or leader <> k + 1000000000 then 'normalized_fingerprint' else '' end as dedup_method from k where not early or again")
+def t1_ingest_observations(s: Source) -> DataFrame:
+    return two_runs(s).observations.select(F.col("source_job_id").cast("long").alias("source_job_id"), "payload_changed", "dedup_method")
+
+
 # --- hashes and selections -------------------------------------------------------------------------------
 
 
