@@ -59,7 +59,8 @@ def retry_after(value: Column, now: Column) -> Column:
     """Seconds of a Retry-After header: a number or an HTTP date, not below 0; null for others."""
     v = F.trim(value)
     at = F.try_to_timestamp(F.regexp_replace(v, "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
-    return F.greatest(F.lit(0.0), F.when(v.rlike(r"^-?\d+(\.\d+)?$"), v.cast("double")).otherwise(F.timestamp_diff("SECOND", now, at).cast("double")))
+    seconds = F.when(v.rlike(r"^-?\d+(\.\d+)?$"), v.cast("double")).otherwise(F.timestamp_diff("SECOND", now, at).cast("double"))
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), seconds))
 
 
 def template(pattern: str, values: dict[str, Column]) -> Column:

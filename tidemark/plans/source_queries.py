@@ -10,8 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text, urls, values
+from ..operators import dedup, resolve
 from ..session import importable
-from ..sources import parsers
+from ..sources import declarative, details, parsers, strict_csv
+from ..sources.strict_csv import checked
 from .state_queries import plain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +166,157 @@ def s17_anchor_discovery(land: Landed) -> DataFrame:
 def s33_rss(land: Landed) -> DataFrame:
     item = """'<item><title>' || if(k % 2 = 0, '<![CDATA[' || n || ' & Co]]>', n || ' &amp; Co') || '</title><link>https://r.example/jobs/' || k || '</link><g:id>i' || k || '</g:id></item>'"""
     return parsers.rss(land(item, "<rss>", "</rss>")).select("payload_id", "link", "title", "item_id")
+
+
+# --- declarative sources ---------------------------------------------------------------------------------
+
+SPEC = declarative.Spec(
+    {
+        "company": {"id": "acme"}, "request": {}, "open_closed_authoritative": True, "source_of_truth": "full_catalog",
+        "extraction": {
+            "page_wrapper": {"items": "data.items", "total": "data.count"}, "stable_id_path": "id", "secondary_id_paths": ["alt"], "title_path": "name", "publication_date_path": "ts", "date_format": "unix_seconds",
+            "official_url_template": "https://a/{{stable_id}}", "apply_url_path": "apply", "locations": {"path": "loc", "shape": "list_of_strings"},
+            "description": {"path": "blocks", "shape": "list_of_blocks", "tasks_relative_key": "t", "qualifications_relative_key": "q"},
+        },
+        "detail": {"description_path": "more"},
+        "paging": {"strategy": "offset", "page_size": 10, "first_page_value": 0}, "completeness": {"rules": [{"kind": "next_offset_ge_total"}, {"kind": "last_page_shorter_than_page_size"}]},
+    }
+)
+DECLARED = """if(k % 4 = 0, '{"Descriptor": {"alt": "only' || k || '", "name": "' || n || '"}}', '{"id": ' || k || ', "alt": "x' || k || '", "name": "' || n || '", "ts": 1700000000, "apply": ["https://apply/' || k || '"], "loc": ["' || s || '", "Rome", "' || s || '"], "blocks": [{"t": "<p>do ' || t || '</p>"'
+    || if(k % 3 = 0, '', ', "q": "know"') || '}, {"t": "more"}]}')"""
+
+
+def declared(land: Landed) -> DataFrame:
+    return declarative.jobs(SPEC, land(DECLARED, '{"data": {"items": [', '], "count": 10}}'))
+
+
+@query(f"""select cast(p as bigint) as payload_id, case when k % 4 = 0 then 'only' || k else cast(k as varchar) end as source_job_id, n as title, case when k % 4 > 0 then s || ',Rome' else '' end as locations, case when k % 4 > 0 then '2023-11-14' end as publication_date,
+    'https://a/' || case when k % 4 = 0 then 'only' || k else cast(k as varchar) end as official_url, case when k % 4 > 0 then 'https://apply/' || k end as apply_url, case when k % 4 > 0 then 'do ' || t || chr(10) || chr(10) || 'more' else '' end as description,
+    case when k % 4 > 0 and k % 3 > 0 then 'know' else '' end as qualifications, k % 4 > 0 and k % 3 > 0 as detail_complete {FROM}""")
+def s18_declarative_jobs(land: Landed) -> DataFrame:
+    return declared(land).select("payload_id", "source_job_id", "title", "locations", "publication_date", "official_url", "apply_url", "description", "qualifications", "detail_complete")
+
+
+@query("""with r as (select c_custkey as run, 10 * (c_custkey % 4) + c_custkey % 10 as total from customer)
+select run as run_id, case when total > 10 and run % 7 = 0 then 'missing pages' when total > 0 and total % 10 = 0 then 'last page with items was full' else 'all rules hold' end as reason from r""")
+def s19_declarative_completeness(land: Landed) -> DataFrame:
+    k = F.col("c_custkey")
+    runs = land.customer.select(k.alias("run_id"), (10 * (k % 4) + k % 10).alias("total"))
+    pages = runs.withColumn("page_value", F.explode(declarative.offsets(SPEC, F.col("total")))).where("not (run_id % 7 = 0 and page_value = 10)")
+    history = pages.withColumn("items_count", F.least(F.lit(10), F.greatest(F.lit(0), F.col("total") - F.col("page_value"))))
+    return declarative.completeness(SPEC, history).select("run_id", "reason")
+
+
+@query(f"""select cast(k as varchar) as source_job_id, s || ' | Rome' as location, case when k % 5 = 0 then 'longer ' || t || case when k % 3 > 0 and k % 2 = 0 then chr(10) || chr(10) || 'Qualifications:' || chr(10) || 'must' else '' end
+    else 'do ' || t || chr(10) || chr(10) || 'more' || case when k % 3 > 0 then chr(10) || chr(10) || 'Qualifications:' || chr(10) || 'know' else '' end end as description, '2023-11-14 00:00:00' as posted_at {FROM} where k % 4 > 0""")
+def s20_declarative_to_raw(land: Landed) -> DataFrame:
+    k = F.col("c_custkey")
+    body = F.concat(F.lit('{"more": [{"t": "longer '), F.col("c_nationkey"), F.lit('"'), F.when((k % 3 > 0) & (k % 2 == 0), ', "q": "must"').otherwise(""), F.lit("}]}"))
+    found = land.customer.where("c_custkey % 5 = 0").select(k.cast("string").alias("source_job_id"), body.alias("body"))
+    rows = declarative.with_details(SPEC, declared(land).where("source_job_id not like 'only%'"), found)
+    return declarative.to_raw(rows).select("source_job_id", "location", "description", "posted_at")
+
+
+@query("select c_custkey as k, 'q=' || replace(replace(c_name || ' & co', '#', '%23'), ' & ', '%20%26%20') || '&page=' || c_custkey || '&q=x~y' as query from customer")
+def s21_request_query(land: Landed) -> DataFrame:
+    pairs = [("q", F.concat("c_name", F.lit(" & co"))), ("page", F.col("c_custkey")), ("q", F.lit("x~y"))]
+    return land.customer.select(F.col("c_custkey").alias("k"), declarative.query_string(pairs).alias("query"))
+
+
+# --- registry files, detail answers and single functions -------------------------------------------------
+
+
+@query("""with r as (select c_custkey as k, case when c_custkey % 7 = 1 then '--' else 'Alias ' || (c_custkey - c_custkey % 2) end as alias, 'c' || (c_custkey % 2 + 4 * (c_custkey - c_custkey % 2)) as cluster from customer)
+select k, concat_ws(',', case when alias = '--' then 'alias' end, case when k % 5 = 2 then 'status' end, case when k % 5 = 0 and k % 3 > 0 then 'evidence' end, case when k % 11 = 3 then 'date' end) as problems from r""")
+def s23_alias_problems(land: Landed) -> DataFrame:
+    k = F.col("c_custkey")
+    even = k - k % 2
+    rows = land.customer.select(
+        F.when(k % 7 == 1, "--").otherwise(F.concat(F.lit("Alias "), even)).alias("alias"), F.concat(F.lit("c"), k % 2 + 4 * even).alias("corporate_cluster_id"), F.when(k % 5 == 2, "MAYBE").when(k % 5 == 0, "VERIFIED").otherwise("PROPOSED").alias("status"),
+        F.when(k % 3 == 0, "https://e.example/x").otherwise("").alias("evidence_url"), F.lit("").alias("evidence_note"), F.when(k % 11 == 3, "soon").otherwise("").alias("verified_date"), k.alias("k"),
+    )
+    return checked(rows, strict_csv.aliases()).select("k", F.array_join("problems", ",").alias("problems"))
+
+
+@query("""with r as (select c_custkey as k, case c_custkey % 5 when 0 then 'ADD' when 1 then 'UPDATE' when 2 then 'RETIRE' when 3 then 'RENAME' else 'SUSPEND' end as action from customer)
+select k, concat_ws(',', case when action = 'RENAME' then 'action' end, case when k % 13 = 0 then 'reason' end, case when action in ('ADD', 'UPDATE') and k % 3 = 0 then 'new URL' when action not in ('ADD', 'UPDATE') and k % 3 > 0 then 'new URL' end,
+    case when action = 'ADD' and k % 4 > 0 then 'old URL' when action <> 'ADD' and k % 4 = 0 then 'old URL' end) as problems from r""")
+def s24_change_problems(land: Landed) -> DataFrame:
+    k = F.col("c_custkey")
+    action = F.get(F.array(*map(F.lit, ("ADD", "UPDATE", "RETIRE", "RENAME", "SUSPEND"))), (k % 5).cast("int"))
+    of = {"corporate_cluster_id": F.concat(F.lit("c"), k), "action": action, "old_jobs_url": F.when(k % 4 > 0, "https://old.example"), "new_jobs_url": F.when(k % 3 > 0, "https://new.example"), "reason": F.when(k % 13 > 0, "r")}
+    contract = strict_csv.registry_changes()
+    rows = land.customer.select(*[F.coalesce(of.get(c, F.lit("")), F.lit("")).alias(c) for c in contract.columns], k.alias("k"))
+    return checked(rows, contract).select("k", F.array_join("problems", ",").alias("problems"))
+
+
+@query("""with r as (select c_custkey as k from customer) select k, case when k % 3 = 0 then 'i' || k else case when k % 4 > 0 then cast(k as varchar) else '' end end as job_id,
+    concat_ws(',', case when k % 3 > 0 and k % 4 = 0 then 'id' end, case when k % 7 = 0 then 'title' end, case when k % 11 = 0 then 'URL' end) as problems from r""")
+def s26_manual_jobs(land: Landed) -> DataFrame:
+    k = F.col("c_custkey")
+    link = F.when(k % 11 == 0, F.concat(F.lit("ftp://x/jobs/view/dev-"), k)).otherwise(F.concat(F.lit("https://x.example/jobs/view/dev-"), k))
+    of = {"job_id": F.when(k % 3 == 0, F.concat(F.lit("i"), k)), "job_url": F.when(k % 4 > 0, link).otherwise(F.when(k % 11 == 0, "ftp://x").otherwise("https://x.example/jobs")), "title": F.when(k % 7 > 0, "T"), "company": F.lit("Acme")}
+    contract = strict_csv.manual_jobs()
+    rows = land.customer.select(*[F.coalesce(of.get(c, F.lit("")), F.lit("")).alias(c) for c in contract.columns], k.alias("k"))
+    return checked(rows, contract).select("k", strict_csv.native_job_id().alias("job_id"), F.array_join("problems", ",").alias("problems"))
+
+
+@query(f"""select cast(k as bigint) as payload_id, case when k % 4 = 0 then 'LD ' || n when k % 4 < 3 then n end as title, case k % 4 when 0 then null when 1 then 'Rome' when 2 then s end as location, case k % 4 when 0 then '' when 1 then 'Hybrid' when 2 then 'On site' end as workplace_type,
+    case k % 4 when 0 then '' when 1 then '' when 2 then 'Full-time' end as employment_type, case when k % 4 = 0 then 'json_ld_jobposting' else 'main_text' end as parser, case when k % 4 = 3 then 'too little text' end as problem {FROM}""")
+def n9_detail_pages(land: Landed) -> DataFrame:
+    """Structured data, a header above the heading, labels, and too little text."""
+    k, n, s = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    body = F.lit("<p>" + "word " * 40 + "</p></main><footer>x</footer>")
+    ld = F.concat(F.lit('<script type="application/ld+json">{"@type": "JobPosting", "title": "LD '), n, F.lit('", "url": "/jobs/1", "description": "<p>a long description here</p>"}</script>'))
+    dotted = F.concat(F.lit("<nav>menu</nav><main><p>Team · Rome · Hybrid</p><h1>"), n, F.lit("</h1>"), body)
+    named = F.concat(F.lit("<main><h1>"), n, F.lit("</h1><p>Location:</p><p>"), s, F.lit("</p><p>Remote status</p><p>On site</p><div>Job type</div><div>Full-time</div>"), body)
+    page = F.when(k % 4 == 0, ld).when(k % 4 == 1, dotted).when(k % 4 == 2, named).otherwise("<p>short</p>")
+    pages = land.customer.select(k.alias("payload_id"), k.alias("portal_id"), F.lit("https://acme.example.com/site/").alias("url"), page.alias("body"))
+    return details.detail_pages(pages).select("payload_id", "title", F.nullif("location", F.when(k_is(0), F.lit("")).otherwise("-")).alias("location"), "workplace_type", "employment_type", "parser", "problem")
+
+
+def k_is(rest: int):
+    return F.col("payload_id") % 4 == rest
+
+
+@query(f"select cast(k as bigint) as payload_id, s || case when k % 2 = 0 then ' | Oslo' else '' end as location, 'Full' as employment_type, 'do ' || t as description {FROM}")
+def n10_detail_answers(land: Landed) -> DataFrame:
+    k = F.col("c_custkey")
+    body = F.concat(F.lit('{"jobPostingInfo": {"location": "'), "c_mktsegment", F.lit('", "additionalLocations": ['), F.when(k % 2 == 0, '"Oslo", "Oslo"').otherwise(""), F.lit('], "timeType": "Full", "jobDescription": "<p>do '), "c_nationkey", F.lit('</p>"}}'))
+    return details.detail_json(land.customer.select(k.alias("payload_id"), body.alias("body")), "workday").select("payload_id", "location", "employment_type", "description")
+
+
+@query("""select c_custkey as k, 'r ' || c_nationkey || ' d lead' as title, case when c_custkey % 2 = 0 then 'oslo | rome' else 'rome' end as place, 'https://x.example/a?b=' || c_custkey as overlap, case when c_custkey % 3 = 0 then 'none' else cast(c_custkey as varchar) end as value,
+    'jobs/' || c_custkey || '/' || c_mktsegment as filled, case c_custkey % 4 when 0 then cast(c_custkey as double) when 1 then 0.0 when 2 then 90.0 end as wait from customer""")
+def n4_n14_n30_n31_n34_functions(land: Landed) -> DataFrame:
+    k = F.col("c_custkey")
+    title = F.concat(F.lit("<b>R&nbsp;"), "c_nationkey", F.lit("</b> &amp;D Lead"))
+    place = F.when(k % 2 == 0, "Rome | OSLO |rome").otherwise(" Rome ")
+    waits = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, "-5").when(k % 4 == 2, "Wed, 03 Jan 2024 00:01:30 GMT").otherwise("later")
+    now = F.lit("2024-01-03 00:00:00").cast("timestamp")
+    return land.customer.select(
+        k.alias("k"), text.normalize_title(title).alias("title"), text.normalize_location(place).alias("place"), urls.overlap_url(F.concat(F.lit("www.X.example/a?b="), k)).alias("overlap"),
+        values.string_value(F.when(k % 3 > 0, F.concat(F.lit(" "), k, F.lit(" "))), "none").alias("value"), values.template("jobs/{key}/{part}", {"key": k, "part": F.col("c_mktsegment")}).alias("filled"), values.retry_after(waits, now).alias("wait"),
+    )
+
+
+@query("""select c_custkey as k, case when c_custkey % 5 = 0 then 'anonymous' when c_custkey % 2 = 0 and c_custkey % 3 = 0 then 'n' || c_custkey else 'plain' end as stem, c_custkey % 5 = 0 or (c_custkey % 2 = 0 and c_custkey % 3 = 0) as is_variant from customer""")
+def d5_collisions(land: Landed) -> DataFrame:
+    """Blank ids and rows whose title conflicts with the stored base row get an id of their own."""
+    k, none = F.col("c_custkey"), F.lit("")
+    own = F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("n"), k))
+    jobs = land.customer.select(k.alias("k"), F.lit("s").alias("source"), own.alias("source_job_id"), F.col("c_name").alias("title"), none.alias("location"), none.alias("apply_url"), none.alias("requisition_id"))
+    stored = land.customer.where("c_custkey % 2 = 0").select(F.lit("s").alias("source"), F.concat(F.lit("n"), k).alias("source_job_id"), F.when(k % 3 == 0, "Another").otherwise(F.upper("c_name")).alias("title"), none.alias("location"), none.alias("apply_url"), none.alias("requisition_id"))
+    out = dedup.preserve_collisions(jobs, stored)
+    return out.select("k", F.when(F.col("is_variant"), F.substring_index("source_job_id", "::", 1)).otherwise("plain").alias("stem"), "is_variant")
+
+
+@query("""select c_custkey as k, case when c_custkey % 3 = 0 then 'Cluster ' || (c_custkey % 7) when c_custkey % 3 = 1 then 'Raw ' || c_custkey else 'Nordic' end as display_name from customer""")
+def n35_display_names(land: Landed) -> DataFrame:
+    """The cluster's name, else the raw one, else what the names of the portal's clusters begin with."""
+    k, p = F.col("c_custkey"), F.col("id")
+    spark = land.customer.sparkSession
+    clusters = spark.range(7).select(F.concat(F.lit("c"), p).alias("corporate_cluster_id"), F.concat(F.lit("Cluster "), p).alias("representative")).unionByName(spark.range(2).select(F.concat(F.lit("n"), p).alias("corporate_cluster_id"), F.concat(F.lit("Nordic "), p).alias("representative")))
+    mappings = spark.range(2).select(F.lit(1).cast("long").alias("portal_id"), F.concat(F.lit("n"), p).alias("corporate_cluster_id"), F.lit("").alias("parent_override"))
+    jobs = land.customer.select(k.alias("k"), F.lit(1).cast("long").alias("portal_id"), F.when(k % 3 == 1, F.concat(F.lit("Raw "), k)).otherwise(" ").alias("raw_company"), F.when(k % 3 == 0, F.concat(F.lit("c"), k % 7)).alias("corporate_cluster_id"))
+    return resolve.display_names(jobs, mappings, clusters).select("k", "display_name")
