@@ -198,7 +198,7 @@ def s18_declarative_jobs(land: Landed) -> DataFrame:
 
 
 @query("""with r as (select c_custkey as run, 10 * (c_custkey % 4) + c_custkey % 10 as total from customer)
-select run as run_id, case when total > 10 and run % 7 = 0 then 'missing pages' when total > 0 and total % 10 = 0 then 'last page with items was full' else 'all rules hold' end as reason from r""")
+select run as run_id, case when total > 10 and run % 7 = 0 then 'missing pages' when total % 10 = 0 then 'last page with items was full' else 'all rules hold' end as reason from r""")
 def s19_declarative_completeness(land: Landed) -> DataFrame:
     k = F.col("c_custkey")
     runs = land.customer.select(k.alias("run_id"), (10 * (k % 4) + k % 10).alias("total"))
