@@ -245,13 +245,11 @@ def a12_functional_dependency(s: Source) -> DataFrame:
 
 
 @query(f"""with {URL_PARTS}, m as (select page_id, url, scheme || '://' || host || clean as normalized_url, host, 'f' || (page_id % 3) as family from parts)
-select normalized_url, min(url) as jobs_search_url, host, array_to_string(list_sort(list(distinct family)), ',') as families, count(distinct page_id) as cluster_count, count(distinct family) > 1 as metadata_conflict from m where host <> '' group by normalized_url, host""")
+select normalized_url, min(regexp_replace(url, '[?#].*$', '')) as jobs_search_url, host, array_to_string(list_sort(list(distinct family)), ',') as families, count(distinct page_id) as cluster_count, count(distinct family) > 1 as metadata_conflict from m where host <> '' group by normalized_url, host""")
 def a13_portal_registry(s: Source) -> DataFrame:
     bare = F.regexp_replace("url", r"[?#].*$", "")
-    rows = s.pages.select(F.col("page_id").alias("corporate_cluster_id"), bare.alias("jobs_url"), F.col("url").alias("raw"), F.concat(F.lit("f"), F.col("page_id") % 3).alias("ats_family"), F.lit("x").alias("ats_confidence"))
-    out = resolve.build_portals(rows)
-    raw = rows.withColumn("normalized_url", urls.jobs_url(F.col("jobs_url"))).groupBy("normalized_url").agg(F.min("raw").alias("least"))
-    return out.join(raw, "normalized_url").select("normalized_url", F.col("least").alias("jobs_search_url"), "host", F.array_join("ats_families", ",").alias("families"), "cluster_count", "metadata_conflict")
+    rows = s.pages.select(F.col("page_id").alias("corporate_cluster_id"), bare.alias("jobs_url"), F.concat(F.lit("f"), F.col("page_id") % 3).alias("ats_family"), F.lit("x").alias("ats_confidence"))
+    return resolve.build_portals(rows).select("normalized_url", "jobs_search_url", "host", F.array_join("ats_families", ",").alias("families"), "cluster_count", "metadata_conflict")
 
 
 @query(f"""with {ATTEMPTS}, u as (select scan_run_id, portal_id, max(k % 3) as retries, count(*) as n, count(*) filter (where http_status = 200) as c2, count(*) filter (where http_status in (404, 429)) as c4, count(*) filter (where http_status = 429) as c429 from attempts group by 1, 2)
@@ -315,9 +313,9 @@ def w8_mixed_sort(s: Source) -> DataFrame:
     return s.nation.orderBy(F.desc("n_regionkey"), "n_name").limit(10)
 
 
-@query("select distinct c_custkey as k from customer where c_custkey not in (select o_custkey from orders)")
+@query("select distinct c_custkey as k from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def u1_difference(s: Source) -> DataFrame:
-    return s.customer.select(F.col("c_custkey").alias("k")).distinct().join(s.orders.select(F.col("o_custkey").alias("k")), "k", "left_anti")
+    return s.customer.select(F.col("c_custkey").alias("k")).distinct().join(s.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), "k", "left_anti")
 
 
 @query("""with u as (select user_id, event_id, 0 as branch from events where event_type = 'view' union all select user_id, event_id, 1 from events where event_type = 'click')
@@ -584,14 +582,14 @@ def t8_health(s: Source) -> DataFrame:
     return lifecycle.fold_health(portals, last).select("id", "health_state", "consecutive_failures")
 
 
-@query("select c_custkey, case when c_custkey % 7 = 0 then 'PENDING_AI' when c_custkey % 3 = 0 then 'CYBER' else 'NEW' end as ai_status, case when c_custkey % 7 <> 0 and c_custkey % 3 <> 0 and c_custkey % 5 = 0 then 1 else 0 end as ai_attempts from customer")
+@query("select c_custkey, case when c_custkey % 7 = 0 then 'PENDING_AI' when c_custkey % 3 = 0 then 'CYBER' else 'NEW' end as ai_status, case when c_custkey % 3 <> 0 and c_custkey % 5 = 0 then 1 else 0 end as ai_attempts from customer")
 def t11_t13_queue(s: Source) -> DataFrame:
     k = F.col("c_custkey")
     jobs = s.customer.select(k.alias("id"), F.lit("NEW").alias("ai_status"), F.lit(0).alias("ai_attempts"))
     answers = s.customer.where((k % 3 == 0) | (k % 5 == 0)).select(k.alias("job_id"), (k % 3 == 0).alias("valid"), F.lit("CYBER").alias("status"))
     out = lifecycle.queue_fold(jobs, answers)
     again = lifecycle.requeue(out, jobs.where("id % 7 = 0"))
-    return again.select(F.col("id").alias("c_custkey"), "ai_status", F.when(F.col("id") % 7 == 0, 0).otherwise(F.col("ai_attempts")).alias("ai_attempts"))
+    return again.select(F.col("id").alias("c_custkey"), "ai_status", "ai_attempts")
 
 
 @query("select s_suppkey, case when s_suppkey % 4 = 0 then 'n' || s_suppkey else s_name end as name, s_suppkey % 2 = 0 or s_suppkey % 4 = 0 as enabled from supplier")
@@ -749,9 +747,9 @@ def n38_code_names(s: Source) -> DataFrame:
     return items.select("n_regionkey", values.code_names(F.col("items")).alias("flat"))
 
 
-@query("select n_regionkey, 'NATION' as prefix from (select distinct n_regionkey from nation)")
+@query("select n_regionkey, 'Group ' || n_regionkey || ' NATION' as prefix from (select distinct n_regionkey from nation)")
 def w10_common_prefix(s: Source) -> DataFrame:
-    names = s.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.replace("n_name", F.lit("_"), F.lit(" ")))).alias("names"))
+    names = s.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.concat(F.lit("Group "), "n_regionkey", F.lit(" "), F.replace("n_name", F.lit("_"), F.lit(" "))))).alias("names"))
     return names.select("n_regionkey", text.common_prefix(F.col("names")).alias("prefix"))
 
 
