@@ -340,6 +340,62 @@ def test_packing_prefers_related_documents():
     assert all(len({d % 4 for d, _, _ in s}) == 1 for s in whole)
 
 
+def test_pii_counts_and_digests_equal_the_patterns(spark):
+    """Every count and digest of the query over a whole table, by the patterns themselves."""
+    import hashlib
+
+    from tidemark.llm.queries import op2_pii
+
+    def luhn(digits):
+        return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+    def digits(x):
+        return re.sub("[^0-9]", "", x)
+
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda x: 12 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+    )
+    root = DATA.replace("0.001", "0.01")
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{root}/documents.parquet").collect()}
+    found = 0
+    for r in op2_pii(spark, root).collect():
+        spans = [(m.start(), i, m.end()) for i, (_, p, fits) in enumerate(kinds) for m in re.finditer(p, texts[r["doc_id"]]) if fits(m.group())]
+        assert [r[f"n_{k}"] for k, _, _ in kinds] == [sum(s[1] == i for s in spans) for i in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{kinds[i][0]}:{a}:{b}" for a, i, b in sorted(spans)).encode()).hexdigest()
+        found += len(spans)
+    assert found > 20
+
+
+def test_quality_scores_equal_a_recomputation(spark):
+    """The discriminant from all labelled statistics by inverses and determinants instead of factors."""
+    root = DATA.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{root}/documents.parquet").collect(), spark.read.parquet(f"{root}/labels.parquet")
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    raw = [(r["text"] or "").encode() for r in docs]
+    x = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    y = np.array([marks.get(r["doc_id"], -1) for r in docs])
+    center, scale = x[y >= 0].mean(axis=0), np.sqrt(np.maximum(x[y >= 0].var(axis=0), 1e-12)) + 1e-6
+    z = (x - center) / scale
+    own = [np.cov(z[y == k].T, ddof=1) for k in (0, 1)]
+    sizes = np.array([(y == k).sum() for k in (0, 1)])
+    both = sum(c * (n - 1) for c, n in zip(own, sizes, strict=True)) / (sizes.sum() - 2)
+    logs, bound = [], np.clip(z, -8, 8)
+    for k in (0, 1):
+        cov = 0.7 * own[k] + 0.3 * both
+        cov = 0.95 * cov + 0.05 * np.trace(cov) / len(cov) * np.eye(len(cov))
+        gap = bound - z[y == k].mean(axis=0)
+        logs.append(np.log((sizes[k] + 1) / (sizes.sum() + 2)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("nd,de,ne->n", gap, np.linalg.inv(cov), gap))
+    want = 1 / (1 + np.exp(np.clip((logs[0] - logs[1]) / 3.0, -500, 500)))
+    got = {r["doc_id"]: r for r in quality.classify(spark.read.parquet(f"{root}/documents.parquet"), labels).collect()}
+    assert np.allclose([got[r["doc_id"]]["score"] for r in docs], want, atol=1e-6)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+    twice = quality.classify(spark.read.parquet(f"{root}/documents.parquet"), labels.unionByName(labels)).collect()
+    assert all(abs(r["score"] - got[r["doc_id"]]["score"]) < 1e-9 for r in twice)
+
+
 def test_quality_on_the_held_out_fold(spark):
     root = DATA.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
