@@ -340,6 +340,32 @@ def test_packing_prefers_related_documents():
     assert all(len({d % 4 for d, _, _ in s}) == 1 for s in whole)
 
 
+@pytest.mark.parametrize("few", [0, 250_000])
+def test_components_of_chains_and_hubs(spark, monkeypatch, few):
+    """In rounds over written tables with joins that can be split, and in one task."""
+    from tidemark.llm import components
+
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components, "LOCAL_EDGES", 7)
+    names = np.random.default_rng(2).permutation(300).tolist()
+    edges = [*zip(names[:80], names[1:81], strict=True), *[(names[100], x) for x in names[101:180]], (5000, 5000), (names[0], None), (names[3], names[2])]
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if b is not None and a != b:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert got == {x: root(x) for x in list(parent)}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_pii_counts_and_digests_equal_the_patterns(spark):
     """Every count and digest of the query over a whole table, by the patterns themselves."""
     import hashlib
