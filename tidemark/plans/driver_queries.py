@@ -16,6 +16,7 @@ from ..functions import hashing, text, urls, values
 from ..operators import classify, dedup, lifecycle, predicates, resolve, windows
 from ..session import importable
 from ..sources import parsers
+from ..storage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -792,6 +793,6 @@ def t1_t2_run_fold(s: Source) -> DataFrame:
         results = run.groupBy("portal_id").agg(F.lit("SUCCESS").alias("status"), F.lit(True).alias("complete"), F.count("*").cast("int").alias("jobs"), F.max("at").alias("finished_at"))
         new = results.select(F.col("portal_id").alias("id")).join(portals, "id", "left_anti").select("id", F.lit(0).alias("empty_scans"), F.lit("UNKNOWN").alias("health"))
         step = lifecycle.process_run(state, portals.unionByName(new), results, run)
-        state, portals = step.sources.checkpoint(), step.portals.checkpoint()
+        state, portals = cut(step.sources), cut(step.portals)
     jobs.unpersist()
     return state
