@@ -15,8 +15,8 @@ DOMAINS = {0: "low", 1: "low_toxic", 2: "good", 3: "good_toxic"}
 BINS, STEPS, STAT_BINS = 1 << 20, 24, 64
 #: A fit whose step has been halved below this has come as near as it can.
 LEAST_STEP = 1 / 64
-#: Of bounded rates: how often the interval of the budget is halved, and what share of it a total may miss.
-HALVINGS, MISSED = 5, 1e-4
+#: Of bounded rates: how often the interval of the budget is halved, what share of it a total may miss, and the steps of each fit.
+HALVINGS, MISSED, BOUNDED_STEPS = 5, 1e-4, 10
 #: Labelled rows that the classifier is fitted on: those with the least hashes of their ids.
 TRAIN_ROWS = 20_000
 #: Rows' worth of the rate over all domains in each domain's counts.
@@ -134,7 +134,7 @@ def fit_rates(soft: DataFrame, targets: np.ndarray, steps: int = STEPS, toleranc
     return fitted(soft, targets, steps, tolerance, p)[0]
 
 
-def fitted(soft: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = 1e-6, p: Column | None = None, most: float | None = None) -> tuple[Column, float]:
+def fitted(soft: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = 1e-6, p: Column | None = None, most: float | None = None, have: np.ndarray | None = None) -> tuple[Column, float]:
     """The rate column that makes the domains' expected token totals meet ``targets``, by projected gradient,
     and the largest share of all targets by which a total misses its own.
 
@@ -142,7 +142,7 @@ def fitted(soft: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance:
     each domain's target over its total.  The gradient is taken in the metric that weighs each document by its tokens and preconditioned by the Gram matrix of the
     documents whose rate is between the bounds; a step that makes the residual worse is halved.  A step is one aggregation
     that brings a few sums for each domain to the driver; the rate is an expression of the steps' sums, over the
-    column p or ``p``.
+    column p or ``p``.  ``have`` are the domains' totals, where they are known already.
     """
     d = len(targets)
     top = lambda rate: rate if most is None else F.least(F.lit(float(most)), rate)
@@ -154,9 +154,8 @@ def fitted(soft: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance:
         row = np.array([x or 0.0 for x in row], float)
         return row[:d] - targets, row[d:].reshape(d, d)
 
-    rate = F.lit(1.0)
-    gap, gram = sums(rate)
-    ratios = np.where(gap + targets > 0, targets / np.maximum(gap + targets, 1e-9), 0)
+    have = sums(F.lit(1.0))[0] + targets if have is None else have
+    ratios = np.where(have > 0, targets / np.maximum(have, 1e-9), 0)
     rate = top(sum((float(m) * x for m, x in zip(ratios, p, strict=True)), F.lit(0.0)))
     gap, gram = sums(rate)
     size = 1.0
@@ -173,7 +172,7 @@ def fitted(soft: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance:
     return rate, float(np.abs(gap).max() / max(targets.sum(), 1))
 
 
-def bounded_rates(soft: DataFrame, wanted: np.ndarray, budget: float, rate: Column, p: Column, most: float) -> Column:
+def bounded_rates(soft: DataFrame, wanted: np.ndarray, have: np.ndarray, budget: float, rate: Column, p: Column, most: float) -> Column:
     """Rates of at most ``most`` that meet the shares ``wanted`` with as much of ``budget`` as that bound allows.
 
     ``rate`` meets them with the whole budget but has no bound; scaled down to the bound it still does, with less.
@@ -185,7 +184,7 @@ def bounded_rates(soft: DataFrame, wanted: np.ndarray, budget: float, rate: Colu
     low, high, rate = budget * most / top, budget, rate * F.lit(float(most / top))
     for _ in range(HALVINGS):
         middle = (low + high) / 2
-        more, missed = fitted(soft, wanted * middle, p=p, most=most)
+        more, missed = fitted(soft, wanted * middle, BOUNDED_STEPS, MISSED, p, most, have)
         if missed <= MISSED:
             low, rate = middle, more
         else:
@@ -222,7 +221,7 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float], budget: flo
             budget = float((have / wanted).min())
         rate = fit_rates(soft, wanted * budget, p=kept)
         if most is not None:
-            rate = bounded_rates(soft, wanted, budget, rate, kept, most)
+            rate = bounded_rates(soft, wanted, have, budget, rate, kept, most)
     columns = [(F.element_at("p", domains.index(i) + 1) if i in domains else F.lit(0.0)).alias(f"p_{name}") for i, name in DOMAINS.items()]
     rated = soft.select("doc_id", "tokens", *columns, rate.alias("rate"), "text_key")
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 30)) / F.lit(float(1 << 30))

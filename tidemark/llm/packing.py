@@ -15,7 +15,7 @@ from .token_codes import encoded
 from .tokens import encoder
 
 #: Documents and ids of one shard's index.
-SHARD_DOCS, SHARD_TOKENS = 4096, 8 << 20
+SHARD_DOCS, SHARD_TOKENS = 4096, 4 << 20
 #: Terms that ask for a seed: those that weigh most in it, of terms in at most such a share of the documents or so many of them.
 QUERY_TERMS, COMMON, LEAST_COMMON = 64, 1 / 8, 16
 #: Neighbours that are sorted before all others.

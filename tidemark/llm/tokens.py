@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Pieces, and words of pieces, that a worker keeps in each of two generations; longer ones are not kept.
-KEPT, KEPT_CHARS = 400_000, 40
+KEPT, KEPT_CHARS = 300_000, 40
 SPACED = re.compile(r"\s*\S+|\s+$")
 #: White space other than spaces and line ends.
 OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
