@@ -23,3 +23,9 @@ def test_sections_keep_repeated_lines(spark, tmp_path):
     turns = [(1, 0, "user", "a\na\n b  c"), (1, 1, "user", "a"), (1, 2, "user", "a\n\na\nb c"), (2, 0, "user", " \n"), (2, 1, "user", None), (3, None, "user", "last"), (3, 4, "user", "first")]
     conversations = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     assert (1, "a\na\nb c\n\na") in agree(spark, "n8_join_sections", tmp_path, conversations=conversations)
+
+
+def test_portals_of_many_clusters_keep_their_arrays_out_of_the_join(spark):
+    """What a caller drops is not built: each job would carry all ids of its portal."""
+    plan = __spark_entry__.queries()["j10_portal_resolution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(corporate_cluster_id" in plan and "collect_set(corporate_cluster_id" not in plan
