@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__
+from tidemark.operators import resolve
 
 
 def agree(spark, name, folder, **tables):
@@ -29,3 +30,18 @@ def test_portals_of_many_clusters_keep_their_arrays_out_of_the_join(spark):
     """What a caller drops is not built: each job would carry all ids of its portal."""
     plan = __spark_entry__.queries()["j10_portal_resolution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "min(corporate_cluster_id" in plan and "collect_set(corporate_cluster_id" not in plan
+
+
+def test_boards_that_evidence_cannot_tell_apart_are_one_group(spark):
+    """Links do not grow with copies of boards, and expand to every pair once."""
+    companies = spark.createDataFrame([(i, "jobs.acme.com", ["https://board.example/7"] if i == 1 else [], [f"Acme {i}"]) for i in range(3)], "company_id long, domain string, portals array<string>, names array<string>")
+    rows = [("f", "acme", f"https://board.example/{i}", "Acme-1", "Jobs.acme.com" if i % 2 else "") for i in range(50)]
+    rows += [("f", "other", "https://board.example/n", "ACME 2", ""), ("f", "acme", "https://board.example/0", "Unlike", ""), ("f", "none", "https://board.example/7/", "acme1", "")]
+    boards = spark.createDataFrame(rows, "family string, slug string, url string, name string, domain string")
+    links, members = resolve.overlap_groups(companies, boards)
+    assert links.count() <= 15
+    got = sorted(tuple(r) for r in resolve.overlap(companies, boards).collect())
+    want = [(c, "f", "acme", f"https://board.example/{i}", "HIGH_CONFIDENCE", "DOMAIN_EXACT") for c in range(3) for i in range(1, 50, 2)]
+    want += [(c, "f", "acme", f"https://board.example/{i}", *(("HIGH_CONFIDENCE", "SLUG_PLUS_NAME") if c == 1 else ("CANDIDATE", "SLUG"))) for c in range(3) for i in range(50)]
+    want += [(1, "f", "acme", "https://board.example/7", "HIGH_CONFIDENCE", "URL_EXACT"), (1, "f", "none", "https://board.example/7/", "HIGH_CONFIDENCE", "URL_EXACT"), (2, "f", "other", "https://board.example/n", "CANDIDATE", "NAME_EXACT")]
+    assert got == sorted(want)
