@@ -1,9 +1,13 @@
 """Queries against their SQL over small tables with what the driver's lack."""
 
+import datetime as dt
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from tidemark.operators import resolve
+from tidemark.operators import lifecycle, resolve
 
 
 def agree(spark, name, folder, **tables):
@@ -45,3 +49,19 @@ def test_boards_that_evidence_cannot_tell_apart_are_one_group(spark):
     want += [(c, "f", "acme", f"https://board.example/{i}", *(("HIGH_CONFIDENCE", "SLUG_PLUS_NAME") if c == 1 else ("CANDIDATE", "SLUG"))) for c in range(3) for i in range(50)]
     want += [(1, "f", "acme", "https://board.example/7", "HIGH_CONFIDENCE", "URL_EXACT"), (1, "f", "none", "https://board.example/7/", "HIGH_CONFIDENCE", "URL_EXACT"), (2, "f", "other", "https://board.example/n", "CANDIDATE", "NAME_EXACT")]
     assert got == sorted(want)
+
+
+def test_full_runs_fold_as_they_do_one_by_one(spark):
+    """Sources that move between portals, too; and days do not come to the driver as jobs of their own."""
+    at = lambda day, n: dt.datetime(2026, 1, 1 + day, n // 3600, n // 60 % 60, n % 60)
+    rng = random.Random(5)
+    rows = [(n // 20, f"s{rng.randrange(3)}", rng.choice("abcd"), rng.randrange(3), f"h{rng.randrange(2)}", n, at(n // 20, n)) for n in range(120) if rng.random() < 0.4]
+    frame = spark.createDataFrame(rows, "run int, source string, source_job_id string, portal_id long, payload_sha256 string, ordinal long, at timestamp")
+    state, portals = spark.createDataFrame([], lifecycle.STATE), spark.createDataFrame([(i, 0, "UNKNOWN") for i in range(3)], lifecycle.PORTALS)
+    for run in sorted({r[0] for r in rows}):
+        jobs = frame.where(F.col("run") == run).drop("run")
+        results = jobs.groupBy("portal_id").agg(F.lit("SUCCESS").alias("status"), F.lit(True).alias("complete"), F.count("*").cast("int").alias("jobs"), F.max("at").alias("finished_at"))
+        state = spark.createDataFrame(lifecycle.process_run(state, portals, results, jobs).sources.collect(), lifecycle.STATE)
+    want = sorted(state.collect(), key=str)
+    got = lifecycle.fold_full_runs(frame).select(state.columns)
+    assert sorted(got.collect(), key=str) == want and any(not r["is_active"] for r in want)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import text_or
 
@@ -121,6 +122,27 @@ def process_run(state: DataFrame, portals: DataFrame, results: DataFrame, jobs:
     return Step(step.sources.drop("id"), step.portals, step.counts)
 
 
+def fold_full_runs(jobs: DataFrame, misses: int = 2) -> DataFrame:
+    """The state after a series of runs, from nothing: what ``process_run`` makes of them one by one, in a single plan.
+
+    ``jobs`` has run, which orders the runs, and the columns of ``ingest``.  In each run every portal that has jobs
+    answers completely and all others not at all, so a row ages with each later run of the portal that saw it last, until
+    it closes with the run that makes its misses ``misses``.  Runs and portals are not null.
+    """
+    if misses < 2:
+        raise ValueError("misses must be at least 2")
+    keys = ["source", "source_job_id"]
+    jobs = jobs.where("run is not null and portal_id is not null")
+    runs = jobs.groupBy("portal_id", "run").agg(F.max("at").alias("finished_at"))
+    order = W.partitionBy("portal_id").orderBy("run")
+    later = F.count("*").over(W.partitionBy("portal_id")) - F.row_number().over(order)
+    runs = runs.select("portal_id", "run", F.least(later, F.lit(misses)).cast("int").alias("missing"), F.lead("finished_at", misses).over(order).alias("closed_at"))
+    first = jobs.groupBy("run", *keys).agg(F.min_by(F.struct("portal_id", "payload_sha256", "at"), "ordinal").alias("j"))
+    rows = first.groupBy(*keys).agg(F.min_by("j.at", "run").alias("first_seen_at"), F.max_by("j", "run").alias("j"), F.max("run").alias("run"))
+    rows = rows.select(*keys, "j.portal_id", "j.payload_sha256", "first_seen_at", F.col("j.at").alias("last_seen_at"), "run").join(runs, ["portal_id", "run"])
+    return rows.select(*keys, "portal_id", "payload_sha256", "first_seen_at", "last_seen_at", (F.col("missing") < misses).alias("is_active"), "missing", "closed_at", F.lit("PENDING_AI").alias("ai_status"))
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, hashes: list[str], semantic: str, complete: bool, bootstrap: bool = False) -> DataFrame:
     """(key, change, needs_analysis): NEW, CHANGED, UNCHANGED, CLOSED or UNSEEN.
 
