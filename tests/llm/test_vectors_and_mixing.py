@@ -308,3 +308,22 @@ def test_pipeline_stages(spark):
     for _, stage in c.STAGES[:-1]:
         extra = stage(spark, extra, DATA)
         assert extra.columns == [*columns, "id", "copies", "stats"]
+
+
+def test_shares_of_characters_are_counted_on_what_is_left_of_a_text(spark):
+    """The bins are those of the whole text, and no whole text is translated, which is slow."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import mixing
+
+    texts = ["", "AB cd 09 #$%&*|=~^<>{}[]_ !?", "é😀Z]" * 9, "a\\b-c.d", "x" * 3000 + "Q1[?", " \n\t", "ßÀ１Ⅷ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = mixing.described(docs)
+    for r in got.collect():
+        t = texts[r["doc_id"]]
+        share = lambda chars: min(11, math.floor(math.log2(sum(c in chars for c in t) / max(len(t), 1) * 1024 + 1)))
+        assert [s - mixing.STAT_BINS * i for i, s in enumerate(r["stats"])][1:5] == [share(c) for c in (mixing.UPPER, mixing.DIGITS, mixing.SIGNS, mixing.CALLS)]
+    plan = got.select(F.col("stats"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(marks" in plan and "translate(text" not in plan

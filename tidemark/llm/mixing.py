@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,8 +31,8 @@ UPPER, DIGITS, SIGNS, CALLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#$%&*
 
 
 def share_bin(chars: str) -> Column:
-    """Which of 12 logarithmic bins the share of ``chars`` in the text falls in."""
-    share = (F.length("text") - F.length(F.translate("text", chars, ""))) / F.greatest(F.length("text"), F.lit(1))
+    """Which of 12 logarithmic bins the share of ``chars`` in the text falls in; ``marks`` has the text's, and few others."""
+    share = (F.length("marks") - F.length(F.translate("marks", chars, ""))) / F.greatest(F.col("chars"), F.lit(1))
     return F.least(F.lit(11), F.floor(F.log2(share * 1024 + 1))).cast("int")
 
 
@@ -41,16 +42,18 @@ def plain(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def described(docs: DataFrame) -> DataFrame:
     """(doc_id, tokens, bins, stats, and other columns but the text): hashed words and binned statistics of whole texts."""
+    # Translating looks up each character as a string of its own, so one pass leaves only those that are counted.
+    marks = F.regexp_replace("text", f"[^{re.escape(UPPER + DIGITS + SIGNS + CALLS)}]+", "")
     words = F.filter(F.split(F.lower("text"), r"[ \t-\r]+"), lambda w: w != "")
     bins = F.transform("words", lambda w: F.pmod(F.hash(w), F.lit(BINS)))
     fresh = F.size(F.array_distinct("bins")) / F.greatest(F.size("bins"), F.lit(1))
     stats = [
         F.least(F.lit(19), F.floor(F.log2(F.size("bins") + F.lit(1)))).cast("int"), share_bin(UPPER), share_bin(DIGITS), share_bin(SIGNS), share_bin(CALLS),
-        F.floor(fresh * 20).cast("int"), F.least(F.lit(20), F.floor(F.length("text") / F.greatest(F.size("bins"), F.lit(1)))).cast("int"),
+        F.floor(fresh * 20).cast("int"), F.least(F.lit(20), F.floor(F.col("chars") / F.greatest(F.size("bins"), F.lit(1)))).cast("int"),
     ]
     numbered = F.array(*[s + F.lit(STAT_BINS * i) for i, s in enumerate(stats)])
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.withColumn("words", words).withColumn("bins", bins).select("doc_id", F.size("bins").cast("long").alias("tokens"), "bins", numbered.alias("stats"), *rest)
+    return docs.withColumns({"words": words, "marks": marks, "chars": F.length("text")}).withColumn("bins", bins).select("doc_id", F.size("bins").cast("long").alias("tokens"), "bins", numbered.alias("stats"), *rest)
 
 
 def constant(values: list, kind: str) -> Column:
